@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,13 +13,10 @@ BASES = "ACGT"
 
 def _profile(kmer: str, k: int) -> Column:
     """4k counts: for each position one slot per base."""
-    return F.array(
-        *[
-            (F.substr(kmer, F.lit(p + 1), F.lit(1)) == b).cast("bigint")
-            for p in range(k)
-            for b in BASES
-        ]
-    )
+    slots = [
+        f"CAST(substr({kmer}, {p + 1}, 1) = '{b}' AS BIGINT)" for p in range(k) for b in BASES
+    ]
+    return F.expr(f"array({', '.join(slots)})")
 
 
 def _scored(edges: DataFrame, clusters: DataFrame, k: int, cut: float) -> DataFrame:
@@ -32,9 +27,8 @@ def _scored(edges: DataFrame, clusters: DataFrame, k: int, cut: float) -> DataFr
     """
     a = clusters.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa"))
     b = clusters.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("pb"))
-    equal = reduce(
-        lambda x, y: x + y, [F.get("pa", F.lit(i)) * F.get("pb", F.lit(i)) for i in range(4 * k)]
-    )
+    # Spelled out term by term, the dot product stays inside generated code.
+    equal = F.expr(" + ".join(f"pa[{i}] * pb[{i}]" for i in range(4 * k)))
     # One division of exact integers, so equal ratios compare equal.
     possible = k * F.col("na") * F.col("nb")
     return (

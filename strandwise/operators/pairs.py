@@ -42,15 +42,22 @@ def _split(rows: DataFrame, blocks: int) -> DataFrame:
     before = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), earlier)).otherwise(
         F.array().cast("array<string>")
     )
-    return rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
-        "kmer",
-        "lo_plane",
-        "hi_plane",
-        F.concat_ws("/", "bucket", F.concat_ws(":", n.cast("string"), text)).alias("bucket"),
-        F.concat(
-            F.substr("rest", F.lit(1), start - 1), F.substr("rest", start + size, F.length("rest"))
-        ).alias("rest"),
-        F.concat("before", before).alias("before"),
+    # Lambdas see a select's own aliases first, so `before` and `bucket` are made
+    # ahead of the new `rest`.
+    return (
+        rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .withColumn("before", F.concat("before", before))
+        .withColumn(
+            "bucket", F.concat_ws("/", "bucket", F.concat_ws(":", n.cast("string"), text))
+        )
+        .withColumn(
+            "rest",
+            F.concat(
+                F.substr("rest", F.lit(1), start - 1),
+                F.substr("rest", start + size, F.length("rest")),
+            ),
+        )
+        .drop("b")
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Sequence
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder once and go on from the written rows."""
+    """Write `df` as a table in the shared folder and go on from the written rows.
+
+    A written table survives lost executors, tells Catalyst its true size, and
+    unlike a checkpoint carries no plan constraints over, which would pile up
+    from round to round of an iteration.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def freeze_partitions(df: DataFrame) -> DataFrame:
+    """Checkpoint `df`, so that its partitions and their row order stay fixed."""
     sc = df.sparkSession.sparkContext
     folder = shared_folder(df.sparkSession)
     if sc.getCheckpointDir() is None:
@@ -44,7 +57,7 @@ def dense_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx")
     cannot change any more, and numbered inside each partition; only one row
     count per partition reaches the driver.
     """
-    ranged = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    ranged = freeze_partitions(df.repartitionByRange(*order).sortWithinPartitions(*order))
     in_part = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     numbered = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", in_part)
     sizes = {
