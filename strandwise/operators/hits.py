@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandwise.functions.nucleotide import PATTERN_BASES, motif_regex, pattern_bases
 from strandwise.functions.scoring import bed_score
 from strandwise.operators.windows import tile_sequences, tile_starts, window_position
-from strandwise.plans.lineage import BROADCAST_ROWS
+from strandwise.plans.lineage import BROADCAST_ROWS, cut_lineage
 
 MAX_EXPAND = 4096
 
@@ -94,8 +94,8 @@ def motif_hits(
     number of those texts is computed first: up to `broadcast_rows` of them are
     broadcast, so the windows are never shuffled; beyond that Spark shuffles.
     """
-    # Cached because planning needs its shape list and size; one row per motif.
-    anchors = motif_anchors(motifs, max_expand).persist()
+    # Written, since planning needs its shapes and size; one row per motif.
+    anchors = cut_lineage(motif_anchors(motifs, max_expand))
     shapes = (
         anchors.groupBy("width", "offset", "size").agg(F.sum("choices").alias("n")).collect()
     )

@@ -80,4 +80,4 @@ def _window_starts(
     seq: Column = F.col("seq")
     if not include_last:
         seq = F.substr(seq, F.lit(1), F.length(seq) - 1)
-    return tile_sequences(seqs.filter(F.length("seq") >= k), k, key, seq)
+    return tile_sequences(seqs, k, key, seq)

@@ -92,9 +92,21 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def spread(df: DataFrame, *cols: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Repartition a scan only if its splits are fewer than the task slots."""
     slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots * 2:
-        return df
-    return df.repartition(*cols) if cols else df.repartition(slots * 4)
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots * 4)
+
+
+def by_record(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition records by their id, ahead of a fan-out to windows.
+
+    The number of partitions is fixed, because adaptive coalescing would size
+    them by the short records and not by the windows they fan out to.
+    """
+    spark = df.sparkSession
+    n = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        spark.sparkContext.defaultParallelism * 4,
+    )
+    return df.repartition(n, key)

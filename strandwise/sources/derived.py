@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandwise.plans.lineage import by_record as partition_by_record
 from strandwise.plans.lineage import spread
 
 # --- fixed values: letter tables of the derived views ---------------------
@@ -34,7 +35,7 @@ def sequences(
     without it the scan is only spread when it has fewer splits than task slots.
     """
     docs = documents(spark, sf_dir, F.concat(F.lit("D"), "doc_id").alias("seq_id"), "text")
-    docs = docs.repartition("seq_id") if by_record else spread(docs)
+    docs = partition_by_record(docs, "seq_id") if by_record else spread(docs)
     return docs.select("seq_id", letters_only("text", target).alias("seq"))
 
 
