@@ -34,6 +34,8 @@ def motif_anchors(motifs: DataFrame, max_expand: int = MAX_EXPAND) -> DataFrame:
     wider one the longest segment that stays within the limit is looked up, and
     the rest is verified on the windows the segment finds.
     """
+    # One letter must always fit, so that every motif has an anchor.
+    max_expand = max(max_expand, 4)
     base = motifs.select("motif").distinct().withColumn("letters", _letters("motif"))
     width = F.size("letters")
     segments = (

@@ -13,7 +13,12 @@ from itertools import product
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import (
+    GBTClassificationModel,
+    GBTClassifier,
+    LogisticRegression,
+    LogisticRegressionModel,
+)
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -424,3 +429,14 @@ def save_model(result: FitResult, path: str) -> None:
         table.coalesce(1).write.mode("overwrite").option("sep", "\t").option(
             "header", name == "cv_results"
         ).csv(f"{path}/{name}")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[object, list[str], DataFrame]:
+    """What `save_model` wrote: the model, its feature order and coefficients."""
+    kind = spark.read.text(f"{path}/model/metadata").first()["value"]
+    loader = GBTClassificationModel if "GBTClassificationModel" in kind else LogisticRegressionModel
+    vocab = vocabulary_list(spark.read.parquet(f"{path}/vocab"))
+    coefs = spark.read.schema("motif STRING, coef DOUBLE").option("sep", "\t").csv(
+        f"{path}/coefficients"
+    )
+    return loader.load(f"{path}/model"), vocab, coefs
