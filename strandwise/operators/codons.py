@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwise.operators.windows import TILE
+from strandwise.operators.windows import TILE, window_text
 from strandwise.sources.tables import codon_table
 
 
@@ -20,15 +20,15 @@ def codon_usage(cds: DataFrame, table: DataFrame | None = None) -> DataFrame:
     width = TILE - TILE % 3
     tiles = cds.select(
         "accession",
-        F.explode(F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))).alias("tile"),
-    )
+        F.explode(F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))).alias("text"),
+    ).select("accession", F.col("text").cast("binary").alias("tile"))
     codons = (
         tiles.select(
             "accession",
             "tile",
             F.explode(F.sequence(F.lit(1), F.length("tile"), F.lit(3))).alias("i"),
         )
-        .select("accession", F.substr("tile", "i", F.lit(3)).alias("codon"))
+        .select("accession", window_text("tile", F.col("i"), 3).alias("codon"))
         .groupBy("accession", "codon")
         .agg(F.count("*").alias("cnt"))
     )

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from strandwise.functions.nucleotide import PATTERN_BASES, motif_regex, pattern_bases
 from strandwise.functions.scoring import bed_score
-from strandwise.operators.windows import tile_sequences, tile_starts, window_position
+from strandwise.operators.windows import (
+    tile_sequences,
+    tile_starts,
+    window_position,
+    window_text,
+)
 from strandwise.plans.lineage import BROADCAST_ROWS, cut_lineage
 
 MAX_EXPAND = 4096
@@ -118,7 +123,7 @@ def motif_hits(
             F.lit(s["width"]).alias("width"),
             F.lit(s["offset"]).alias("offset"),
             F.lit(s["size"]).alias("size"),
-            F.substr("tile", F.col("i") + s["offset"], F.lit(s["size"])).alias("anchor"),
+            window_text("tile", F.col("i") + s["offset"], s["size"]).alias("anchor"),
         )
         for s in shapes
     ]
@@ -141,7 +146,7 @@ def motif_hits(
         )
     found = windows.join(table, ["width", "offset", "size", "anchor"])
     if wide:
-        text = F.substr("tile", "i", "width")
+        text = window_text("tile", F.col("i"), F.col("width"))
         matches = F.call_function("rlike", text, F.concat(F.lit("^"), motif_regex("motif"), F.lit("$")))
         found = found.filter((F.col("size") == F.col("width")) | matches)
     return found.select(key, "motif", "pos")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandwise.functions.nucleotide import has_ambiguity
 from strandwise.operators.windows import strand_windows
-from strandwise.plans.lineage import dense_index
+from strandwise.plans.lineage import by_record, dense_index
 
 
 def _both_strands(df: DataFrame, keep: Sequence[str], value: Column, name: str) -> DataFrame:
@@ -53,7 +53,8 @@ def kmer_matrix(refs: DataFrame, binned: DataFrame, k: int = 17) -> DataFrame:
     """
     key = ["bin", "draw_id", "seq_id"]
     rows = refs.select(*key, "seq").unionByName(binned.select(*key, "seq"))
-    return drop_ambiguous(kmer_counts(rows, k, key=key))
+    # Shuffling whole records here spares the shuffle of all their windows.
+    return drop_ambiguous(kmer_counts(by_record(rows, *key), k, key=key))
 
 
 def kmer_prevalence(counts: DataFrame) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Sliding windows over sequences."""
+"""Sliding windows over sequences.
+
+Sequences are ASCII. Windows are cut from bytes: `substr` on text would count
+characters from the start of the tile for every window.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strandwise.functions.nucleotide import reverse_complement
 
-TILE = 256
+TILE = 1024
 
 
 def tile_sequences(
@@ -18,12 +22,18 @@ def tile_sequences(
     """Cut each sequence into overlapping tiles: `keep..., tile_no, tile`.
 
     A tile owns `TILE` window starts and carries `width - 1` further letters.
-    One regex pass cuts all tiles, so the cost is linear in the length, where
-    `substr` over the whole text would rescan it for every window.
+    Tiles bound what one row fans out to at a time, however long the sequence;
+    one regex pass cuts them all.
     """
     pattern = f"(?s)(?=(.{{1,{TILE + width - 1}}})).{{1,{TILE}}}"
     tiles = F.regexp_extract_all(seq, F.lit(pattern), F.lit(1))
-    return df.select(*keep, F.posexplode(tiles).alias("tile_no", "tile"))
+    cut = df.select(*keep, F.posexplode(tiles).alias("tile_no", "tile"))
+    return cut.withColumn("tile", F.col("tile").cast("binary"))
+
+
+def window_text(tile: str, start: Column, size: int | Column) -> Column:
+    """`size` letters of a tile from a 1-based start."""
+    return F.substr(tile, start, F.lit(size) if isinstance(size, int) else size).cast("string")
 
 
 def tile_starts(width: int | Column) -> Column:
@@ -50,7 +60,7 @@ def kmer_windows(
         .select(
             *key,
             window_position(F.col("i")).alias("pos"),
-            F.substr("tile", "i", F.lit(k)).alias("kmer"),
+            window_text("tile", F.col("i"), k).alias("kmer"),
         )
     )
 
@@ -63,11 +73,11 @@ def strand_windows(
     The tile is reverse-complemented once and both strands are cut from it.
     """
     n = F.length("tile")
-    forward = F.substr("tile", "i", F.lit(k))
-    backward = F.substr("rc_tile", n - F.col("i") - (k - 2), F.lit(k))
+    forward = window_text("tile", F.col("i"), k)
+    backward = window_text("rc_tile", n - F.col("i") - (k - 2), k)
     return (
         _window_starts(seqs, k, include_last, key)
-        .withColumn("rc_tile", reverse_complement("tile"))
+        .withColumn("rc_tile", reverse_complement(F.col("tile").cast("string")).cast("binary"))
         .select(*key, "tile", "rc_tile", F.explode(tile_starts(k)).alias("i"))
         .select(*key, forward.alias("fwd"), backward.alias("rev"))
         .select(*key, F.least("fwd", "rev").alias("lo"), F.greatest("fwd", "rev").alias("hi"))

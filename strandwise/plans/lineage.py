@@ -98,8 +98,8 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots * 4)
 
 
-def by_record(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition records by their id, ahead of a fan-out to windows.
+def by_record(df: DataFrame, *key: str) -> DataFrame:
+    """Hash-partition records by their key, ahead of a fan-out to windows.
 
     The number of partitions is fixed, because adaptive coalescing would size
     them by the short records and not by the windows they fan out to.
@@ -109,4 +109,4 @@ def by_record(df: DataFrame, key: str) -> DataFrame:
         int(spark.conf.get("spark.sql.shuffle.partitions")),
         spark.sparkContext.defaultParallelism * 4,
     )
-    return df.repartition(n, key)
+    return df.repartition(n, *key)

@@ -130,7 +130,7 @@ def _references(spark, d) -> DataFrame:
 
 def _binned(spark, d) -> DataFrame:
     refs = _references(spark, d).select("bin", F.length("seq").alias("ref_len"))
-    return binning.replicon_bin(derived.sequences(spark, d, by_record=True), refs)
+    return binning.replicon_bin(derived.sequences(spark, d), refs)
 
 
 def replicon_bin(spark, d):
