@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandwise.plans.lineage import broadcast_if_small
+
 
 def length_bins(refs: DataFrame, p: float = 0.1) -> DataFrame:
     """`len, bin`: every length inside a reference's range, lowest bin first.
@@ -27,9 +29,10 @@ def replicon_bin(seqs: DataFrame, refs: DataFrame, p: float = 0.1) -> DataFrame:
 
     Records near no reference are dropped. Which bin a record gets depends on
     its length alone, so the range condition becomes an equality join on the
-    length against a table with 2*p*ref_len rows per reference.
+    length against a table with 2*p*ref_len rows per reference, broadcast after
+    its rows are counted.
     """
-    bins = length_bins(refs, p)
+    bins = broadcast_if_small(length_bins(refs, p))
     return (
         seqs.withColumn("len", F.length("seq")).join(bins, "len").drop("len")
     )

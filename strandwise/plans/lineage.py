@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 # Rows a broadcast side may hold; at about 100 bytes a row this stays near 100 MB.
 BROADCAST_ROWS = 1_000_000
+# Partitions per file split of records that fan out to windows: a 128 MB split
+# becomes pieces of about 8 MB, whose windows fit an executor's memory.
+FAN_OUT = 16
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -82,8 +85,11 @@ def rank_within(df: DataFrame, groups: Sequence[str], order: Sequence[str], name
     indexed = dense_index(df, [*groups, *order], "_idx")
     if not groups:
         return indexed.withColumnRenamed("_idx", name)
+    # Few groups are broadcast, so a group with most of the rows is not shuffled
+    # as one key; many groups make none of them large against the rest, and
+    # adaptive skew handling covers what is left.
     starts = indexed.groupBy(*groups).agg(F.min("_idx").alias("_start"))
-    joined = indexed.join(starts, groups)
+    joined = indexed.join(broadcast_if_small(starts), groups)
     return joined.withColumn(name, F.col("_idx") - F.col("_start")).drop("_idx", "_start")
 
 
@@ -98,15 +104,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots * 4)
 
 
-def by_record(df: DataFrame, *key: str) -> DataFrame:
+def by_record(df: DataFrame, *key: str, splits: int = 0) -> DataFrame:
     """Hash-partition records by their key, ahead of a fan-out to windows.
 
     The number of partitions is fixed, because adaptive coalescing would size
-    them by the short records and not by the windows they fan out to.
+    them by the short records and not by the windows they fan out to. `splits`
+    is the number of file splits behind `df`, where known: each one is cut into
+    `FAN_OUT` partitions. Otherwise `spark.sql.shuffle.partitions` decides.
     """
     spark = df.sparkSession
     n = max(
         int(spark.conf.get("spark.sql.shuffle.partitions")),
         spark.sparkContext.defaultParallelism * 4,
+        splits * FAN_OUT,
     )
     return df.repartition(n, *key)

@@ -24,8 +24,11 @@ def discover_motifs(
 
 def map_motifs(seqs: DataFrame, motifs: DataFrame) -> DataFrame:
     """Sequences and motifs to scored BED rows."""
+    # Both are used more than once; as a written table of one row per motif the
+    # scores are broadcast by their true size and no hit is shuffled by motif.
     hits = cut_lineage(motif_hits(seqs, motifs))
-    return motif_bed(hits, motif_score_table(hits, motifs, seqs))
+    scores = cut_lineage(motif_score_table(hits, motifs, seqs.select("seq_id")))
+    return motif_bed(hits, scores)
 
 
 def predict_sequences(seqs: DataFrame, coefs: DataFrame, intercept: float = 0.0) -> DataFrame:

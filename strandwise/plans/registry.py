@@ -221,8 +221,8 @@ def motif_score_table(spark, d):
 
 
 def motif_bed(spark, d):
-    found = motif_hits(spark, d)
-    return hits.motif_bed(found, _scores(spark, d, found)).select(
+    seqs, names = derived.sequences(spark, d), motif_table(spark, list(WEIGHTS))
+    return pipelines.map_motifs(seqs, names).select(
         "chr", _big("start"), _big("end"), "name", _big("score")
     )
 

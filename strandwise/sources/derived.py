@@ -35,7 +35,11 @@ def sequences(
     without it the scan is only spread when it has fewer splits than task slots.
     """
     docs = documents(spark, sf_dir, F.concat(F.lit("D"), "doc_id").alias("seq_id"), "text")
-    docs = partition_by_record(docs, "seq_id") if by_record else spread(docs)
+    if by_record:
+        # A plain scan, so counting its splits runs nothing.
+        docs = partition_by_record(docs, "seq_id", splits=docs.rdd.getNumPartitions())
+    else:
+        docs = spread(docs)
     return docs.select("seq_id", letters_only("text", target).alias("seq"))
 
 

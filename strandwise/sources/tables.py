@@ -92,6 +92,30 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_degeneracy_summary(summary: DataFrame, path: str) -> None:
+    """The two-line text report of `motif_degeneracy`."""
+    # --- fixed values: report labels
+    lines = F.array(
+        F.concat(
+            F.lit("Average number of degenerate positions:\t"), "avg_degenerate_positions"
+        ),
+        F.concat(
+            F.lit("Average number of bases represented in degenerate motifs:\t"),
+            "avg_represented_bases",
+        ),
+    )
+    summary.select(F.explode(lines).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_complement_report(ratio: DataFrame, motifs: DataFrame, path: str) -> None:
+    """Share of reverse-complement motifs, and the motifs themselves."""
+    label = F.lit("Ratio of reverse complement motifs to total motifs in feature array: ")
+    ratio.select(F.concat(label, "rev_comp_ratio").alias("value")).write.mode("overwrite").text(
+        f"{path}/ratio"
+    )
+    write_tsv(motifs, f"{path}/motifs", header=False)
+
+
 def read_alphabet(spark: SparkSession, path: str) -> dict[str, str]:
     """Residue -> class map of a small JSON object, X added."""
     text = "\n".join(r["value"] for r in spark.read.option("wholetext", True).text(path).collect())

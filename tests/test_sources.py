@@ -92,3 +92,20 @@ def test_duplicates_are_reported(spark):
 def test_cds_headers(spark):
     df = spark.createDataFrame([("join(AB1.1:3-9,12-20", "ATG")], "seq_id STRING, seq STRING")
     assert rows(with_accession(df), "accession") == [("AB1.1",)]
+
+
+def test_reports(spark, tmp_path):
+    from strandwise.operators import motifs
+
+    names = spark.createDataFrame([("ACR",), ("YGT",), ("NNA",)], "motif STRING")
+    tables.write_degeneracy_summary(motifs.motif_degeneracy(names), str(tmp_path / "deg"))
+    lines = sorted(r["value"] for r in spark.read.text(str(tmp_path / "deg")).collect())
+    assert lines == [
+        "Average number of bases represented in degenerate motifs:\t4.0",
+        f"Average number of degenerate positions:\t{4 / 3}",
+    ]
+    tables.write_complement_report(
+        motifs.rev_comp_ratio(names), motifs.rev_comp_motifs(names), str(tmp_path / "rc")
+    )
+    kept = sorted(r["value"] for r in spark.read.text(str(tmp_path / "rc" / "motifs")).collect())
+    assert kept == ["ACR", "YGT"]
