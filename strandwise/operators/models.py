@@ -121,8 +121,9 @@ def _training(
     constant: bool = False,
     binary: bool = False,
 ) -> _Training:
-    labelled = labelled_features(
-        features.select("accession", "motif", F.col(value).alias("cnt")), meta
+    # Used for the rows and for the cells; written so features are made once.
+    labelled = cut_lineage(
+        labelled_features(features.select("accession", "motif", F.col(value).alias("cnt")), meta)
     )
     rows = labelled.select("accession", "label", "groups").distinct()
     # A null feature keeps an accession that has none; it is no vocabulary entry.

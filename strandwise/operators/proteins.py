@@ -45,7 +45,13 @@ def amino_kmer_counts(
         .groupBy("accession", F.col("kmer").alias("word"))
         .agg(F.count("*").alias("cnt"))
     )
-    silent = cds.select("accession").distinct().join(counts, "accession", "left_anti")
+    # Whether an accession has any word shows in its proteins; the words
+    # themselves need not be made a second time.
+    protein = protein_of("seq")
+    has_word = F.when(
+        is_valid_cds("seq", k), ~has_ambiguous_residue(protein) & (F.length(protein) >= k)
+    ).otherwise(False)
+    silent = cds.groupBy("accession").agg(F.max(has_word).alias("any")).filter(~F.col("any"))
     return counts.unionByName(
         silent.select(
             "accession",
