@@ -12,6 +12,8 @@ from strandwise.functions.protein import CODON_TABLE
 
 BED_SCHEMA = "chr STRING, start INT, end INT, name STRING, score INT"
 METADATA_SCHEMA = "accession STRING, label INT, species STRING, groups STRING"
+# Bases of one sequence whose hits one task writes.
+BED_STRETCH = 100_000
 COEFFICIENT_SCHEMA = "motif STRING, coef DOUBLE"
 
 
@@ -38,9 +40,9 @@ def write_bed(bed: DataFrame, path: str, per_sequence: bool = True) -> None:
     """Headerless BED files, by default one folder `sequence=<id>` per sequence.
 
     `|` in an id becomes `_` in the folder name. Rows are hashed by sequence and
-    a piece of the record, so one sequence with most of the hits does not end in
-    a single task. `per_sequence=False` writes one flat table, the better layout
-    when there are very many sequences.
+    stretch of `BED_STRETCH` bases: a short sequence stays one file, a long one
+    with most of the hits is written by many tasks. `per_sequence=False` writes
+    one flat table, the better layout when there are very many sequences.
     """
     columns = ["chr", "start", "end", "name", "score"]
     if not per_sequence:
@@ -51,9 +53,11 @@ def write_bed(bed: DataFrame, path: str, per_sequence: bool = True) -> None:
     (
         bed.select(
             F.replace("chr", F.lit("|"), F.lit("_")).alias("sequence"),
+            F.floor(F.col("start") / BED_STRETCH).alias("stretch"),
             F.concat_ws("\t", *columns).alias("record"),
         )
-        .repartition("sequence", F.pmod(F.xxhash64("record"), F.lit(4)))
+        .repartition("sequence", "stretch")
+        .drop("stretch")
         .write.mode("overwrite")
         .partitionBy("sequence")
         .text(path)
