@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.plans.lineage import broadcast_if_small
+from strandwise.plans.lineage import broadcast_if_small, cut_lineage
 
 
 def length_bins(refs: DataFrame, p: float = 0.1) -> DataFrame:
@@ -32,7 +32,8 @@ def replicon_bin(seqs: DataFrame, refs: DataFrame, p: float = 0.1) -> DataFrame:
     length against a table with 2*p*ref_len rows per reference, broadcast after
     its rows are counted.
     """
-    bins = broadcast_if_small(length_bins(refs, p))
+    # Written, so that counting them does not work out the references twice.
+    bins = broadcast_if_small(cut_lineage(length_bins(refs, p)))
     return (
         seqs.withColumn("len", F.length("seq")).join(bins, "len").drop("len")
     )
