@@ -3,15 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm import chunks, packing, quality_rules, quality_trees, simhash
-from strandwise.llm.common import documents, held
+from strandwise.llm import bpe, chunks, packing, pivots, quality_rules, quality_trees, simhash, token_files
+from strandwise.llm.common import documents, held, shared_folder
 
 BPE_50K = public_tokenizers.path("byte_bpe_50k.json")
+BPE_MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    folder = f"{shared_folder(spark)}/tokens-{uuid4().hex}"
+    files = token_files.write_token_files(docs, BPE_50K, folder)
+    return token_files.read_documents(spark, files, docs, folder)
 
 
 def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +46,12 @@ def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    found = pivots.top_k(vectors, "vec_id", "embedding", F.col("vec_id") % 50 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
     digits = F.lpad(F.lower(F.hex("print")), 16, "0")
@@ -50,13 +65,21 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, rules).drop("text")
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return bpe.encode_and_decode(docs, BPE_MULTI, public_tokenizers.PATTERN)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir, "doc_id", "text"), BPE_50K)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_quality_trees, op4_chunk_dedup, op6_simhash, op8_quality_rules, op10_packing)
+    for f in (
+        op2_token_files, op3_quality_trees, op4_chunk_dedup, op5_top_k, op6_simhash, op8_quality_rules,
+        op9_bpe, op10_packing,
+    )
 }
 #: SQL for those that SQL can express over whole tables.
 ORACLE: dict[str, str] = {}
