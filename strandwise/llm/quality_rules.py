@@ -30,6 +30,8 @@ from strandwise.llm.quality_trees import labelled_sample
 
 #: Labelled rows that the regression is fitted on, at most; their features come to the driver.
 MAX_LABELLED = 2_000
+#: Text bytes of a step; its n-grams take about 100 times that.
+STEP = 1 << 20
 BUCKETS = 1 << 15
 CHAR_SIZES = (3, 4, 5)
 MIN_PROBABILITY = 0.3
@@ -182,7 +184,7 @@ def fit_rules(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, text):
+            for part in pieces(batch, text, STEP):
                 own = bags(part.column(text))
                 yield pa.record_batch(
                     [
@@ -240,7 +242,7 @@ def judge(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, text):
+            for part in pieces(batch, text, STEP):
                 counts = [base_counts(t) for t in texts_of(part.column(text))]
                 base = np.array(counts, np.int64).reshape(-1, len(BASE))
                 failed = (base[:, 0] < min_words) | (100 * base[:, 4] > max_repeated_percent * base[:, 0])
