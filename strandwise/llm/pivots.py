@@ -36,16 +36,21 @@ BLOCK = 65_536
 SAMPLE = 2_048
 
 
-def quantized(vectors: DataFrame, id_column: str, column: str, scale: int = 256) -> DataFrame:
-    """(row, id, v): floor(scale * x) of the vectors that take part; `row` numbers the scan's rows."""
-    x = F.col(column)
+def quantized(vectors: DataFrame, id_column: str, column: str, is_query: Column, scale: int = 256) -> DataFrame:
+    """(row, id, query, v): floor(scale * x) of the vectors that take part; `row` numbers the scan's rows."""
+    x = F.col("x")
     good = x.isNotNull() & ~F.exists(
         x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) == float("inf"))
     )
     return (
-        vectors.withColumn("row", F.monotonically_increasing_id())
+        vectors.select(
+            F.monotonically_increasing_id().alias("row"),
+            F.col(id_column).cast("long").alias("id"),
+            F.coalesce(is_query, F.lit(False)).alias("query"),
+            F.col(column).alias("x"),
+        )
         .where(good)
-        .select("row", F.col(id_column).alias("id"), F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double"))).alias("v"))
+        .select("row", "id", "query", F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double"))).alias("v"))
     )
 
 
@@ -118,7 +123,7 @@ def search(
 
 def top_k(vectors: DataFrame, id_column: str, column: str, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
     """(query_id, rank, id, score): for each query row its k best other rows."""
-    rows = cut_lineage(quantized(vectors, id_column, column, scale).withColumn("query", F.coalesce(is_query, F.lit(False))))
+    rows = cut_lineage(quantized(vectors, id_column, column, is_query, scale))
     square = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
     facts = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.max(square).alias("most")).first()
     width, most = facts["width"] or 0, facts["most"] or 0.0
@@ -141,7 +146,7 @@ def top_k(vectors: DataFrame, id_column: str, column: str, is_query: Column, k:
 
     queries = rows.where("query").select("row", "id", "v").mapInArrow(limits, "row long, id long, v array<long>, floor double")
     block = F.pmod(F.xxhash64("row", F.lit(5)), F.lit(blocks)).cast("int")
-    candidates = rows.select(block.alias("block"), F.lit(0).alias("kind"), "row", F.col("id").cast("long").alias("id"), "v", F.lit(0.0).alias("floor"))
+    candidates = rows.select(block.alias("block"), F.lit(0).alias("kind"), "row", "id", "v", F.lit(0.0).alias("floor"))
     every = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "row", "id", "v", "floor")
     met = candidates.union(every).repartition(blocks, "block").sortWithinPartitions("block", "kind", "row")
 
