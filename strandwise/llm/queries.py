@@ -9,13 +9,24 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm import bpe, chunks, packing, pivots, quality_rules, quality_trees, simhash, token_files
+from strandwise.llm import bpe, chunks, language_model, packing, pivots, quality_rules, quality_trees, simhash, suffixes, token_files
 from strandwise.llm.common import documents, held, shared_folder
 
 BPE_50K = public_tokenizers.path("byte_bpe_50k.json")
 BPE_MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.without_repeats(documents(spark, sf_dir, "doc_id", "text"))
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     folder = f"{shared_folder(spark)}/tokens-{uuid4().hex}"
@@ -58,6 +69,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    out = language_model.fit_and_score(docs, ~held("doc_id", 7, 2))
+    return out.withColumn("train", ~F.col("train")).withColumnRenamed("train", "held_out")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -77,8 +94,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_token_files, op3_quality_trees, op4_chunk_dedup, op5_top_k, op6_simhash, op8_quality_rules,
-        op9_bpe, op10_packing,
+        op1_suffix_dedup, op2_token_files, op3_quality_trees, op4_chunk_dedup, op5_top_k, op6_simhash,
+        op7_language_model, op8_quality_rules, op9_bpe, op10_packing,
     )
 }
 #: SQL for those that SQL can express over whole tables.
