@@ -148,7 +148,7 @@ def repeated_chunks(docs: DataFrame, text: str = "text", bits: int = BITS) -> Da
 def cut_spans(text: bytes, begins: list[int], lengths: list[int], least: int) -> list[tuple[int, int]]:
     """Runs of neighbouring chunks of at least `least` bytes, drawn in to whole characters."""
     runs: list[list[int]] = []
-    for b, n in sorted(zip(begins, lengths, strict=True)):
+    for b, n in sorted(set(zip(begins, lengths, strict=True))):
         if runs and runs[-1][1] == b:
             runs[-1][1] = b + n
         else:
