@@ -141,7 +141,7 @@ def grow(
     rate: float = 0.15,
     bins: int = 64,
     smooth: float = 1.0,
-    least: float = 5.0,
+    least: float = 0.25,
 ) -> Trees:
     """Newton boosting of the logistic loss with histogram splits."""
     n, p = rows.shape if rows.ndim == 2 else (0, len(STATISTICS))
@@ -176,7 +176,7 @@ def grow(
                 ga, ha = g.sum(1, keepdims=True), h.sum(1, keepdims=True)
                 gr, hr = ga - gl, ha - hl
                 gain = gl**2 / (hl + smooth) + gr**2 / (hr + smooth) - ga**2 / (ha + smooth)
-                gain[(hl < least / 4) | (hr < least / 4)] = -1
+                gain[(hl < least) | (hr < least)] = -1
                 cut = gain.argmax(1)
                 top = gain[np.arange(width), cut]
                 for w in np.flatnonzero(top > best):
