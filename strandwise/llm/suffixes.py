@@ -324,7 +324,10 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -
     places = long_ones.select("row", "text").mapInArrow(find, "row long, g long, a int, least short, most short")
     once = named.where("row = first").select("row")
     places = cut_lineage(places.join(once, "row", "left_semi"))
-    counts = places.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g", (F.col("n") > HOT).alias("hot"))
+    # A written table, so that both sides of the join are exchanged for it alone and a hot gram can be split.
+    counts = cut_lineage(
+        places.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g", (F.col("n") > HOT).alias("hot"))
+    )
     live = places.join(counts, "g").groupBy("row").agg(F.collect_list(F.struct("g", "a", "least", "most", "hot")).alias("found"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
