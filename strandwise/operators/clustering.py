@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.operators.pairs import BUCKET_ROWS, cut_radius, hamming_pairs
-from strandwise.plans.lineage import cut_lineage, dense_index
+from strandwise.plans.lineage import cut_lineage, drop_table, dense_index
 
 BASES = "ACGT"
 
@@ -90,8 +90,11 @@ def kmer_clusters(
         .join(ids_b, "b")
         .select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
     )
+    former: list[DataFrame] = []  # read by this round's edges, and by nothing once those are scored
     while True:
         scored = cut_lineage(_scored(edges, clusters, k, cut))
+        for table in former:
+            drop_table(table)
         merges = cut_lineage(_reciprocal(scored))
         if merges.isEmpty():
             break
@@ -99,6 +102,7 @@ def kmer_clusters(
             merges.join(clusters, F.col("hi") == F.col("cid"))
             .select(F.col("lo").alias("cid"), F.col("n").alias("n2"), F.col("profile").alias("p2"))
         )
+        former = [scored, merges, clusters, members]
         summed = F.zip_with("profile", "p2", lambda x, y: x + y)
         clusters = cut_lineage(
             clusters.join(merges, F.col("cid") == F.col("hi"), "left_anti")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.functions.scoring import accuracy, binarize, negative_brier, sigmoid
+from strandwise.plans.lineage import broadcast_if_small
 
 # A model's feature list lives on the driver, like its coefficient vector.
 MAX_VOCABULARY = 5_000_000
@@ -90,7 +91,7 @@ def score_sequences(
     otherwise every accession of `features` is.
     """
     weighted = (
-        features.join(coefs, "motif", "left")
+        features.join(broadcast_if_small(coefs), "motif", "left")
         .groupBy("accession")
         .agg(F.sum(F.col("cnt") * F.coalesce("coef", F.lit(0.0))).alias("z"))
     )

@@ -93,41 +93,57 @@ def amino_motif_locations(
 
     A class pattern matches exactly where the window spells the word in the
     reduced alphabet, so hits come from an equality join. Overlaps are then
-    resolved per protein and word: a hit counts unless it begins inside the
+    resolved per record and word: a hit counts unless it begins inside the
     last one that counted. Those lists are bounded by one protein's length.
+
+    Records are told apart by their text as well as their id, so ids may repeat;
+    a record that is there n times has each of its positions n times.
     """
     name = "description" if "description" in cds.columns else "seq_id"
+    record = ["seq_id", "accession", "name", "record"]
     proteins = cds.select(
-        "seq_id", "accession", F.col(name).alias("name"), protein_of("seq").alias("protein")
-    ).withColumn("seq", alphabet_classes("protein", alphabet))
+        "seq_id",
+        "accession",
+        F.col(name).alias("name"),
+        F.xxhash64("seq").alias("record"),
+        protein_of("seq").alias("seq"),
+    )
     widths = [r["w"] for r in coefs.select(F.length("motif").alias("w")).distinct().collect()]
     words = broadcast_if_small(coefs, broadcast_rows)
     out = None
     for k in sorted(widths):
-        windows = kmer_windows(proteins, k, True, ["seq_id", "accession", "name"])
+        windows = kmer_windows(proteins, k, True, record).withColumnRenamed("kmer", "amino_match")
         hits = (
-            windows.withColumnRenamed("kmer", "motif")
+            windows.withColumn("motif", alphabet_classes("amino_match", alphabet))
             .join(words, "motif")
-            .groupBy("seq_id", "accession", "name", "motif", "coef")
-            .agg(F.sort_array(F.collect_list("pos")).alias("at"))
+            .groupBy(*record, "motif", "coef", "pos", "amino_match")
+            .agg(F.count("*").alias("times"))
+            .groupBy(*record, "motif", "coef")
+            .agg(
+                F.max("times").cast("int").alias("times"),
+                F.sort_array(F.collect_list(F.struct("pos", "amino_match"))).alias("at"),
+            )
         )
         never = F.lit(-k).cast("bigint")
         kept = F.aggregate(
             "at",
-            F.struct(never.alias("last"), F.array().cast("array<bigint>").alias("kept")),
-            lambda acc, p: F.when(
-                p >= acc["last"] + k,
-                F.struct(p.alias("last"), F.array_append(acc["kept"], p).alias("kept")),
+            F.struct(
+                never.alias("last"),
+                F.array().cast("array<struct<pos:bigint,amino_match:string>>").alias("kept"),
+            ),
+            lambda acc, hit: F.when(
+                hit["pos"] >= acc["last"] + k,
+                F.struct(
+                    hit["pos"].alias("last"), F.array_append(acc["kept"], hit).alias("kept")
+                ),
             ).otherwise(acc),
             lambda acc: acc["kept"],
         )
-        part = hits.select(
-            "seq_id", "accession", "name", "motif", "coef", F.explode(kept).alias("start")
-        )
-        located = part.join(proteins.select("seq_id", "protein"), "seq_id").select(
-            F.substr("protein", F.col("start").cast("int") + 1, F.lit(k)).alias("amino_match"),
-            "start",
-            (F.col("start") + k).alias("end"),
+        copies = F.flatten(F.array_repeat(kept, F.col("times")))
+        located = hits.select("accession", "name", "motif", "coef", F.explode(copies).alias("hit")).select(
+            F.col("hit.amino_match").cast("string").alias("amino_match"),
+            F.col("hit.pos").alias("start"),
+            (F.col("hit.pos") + k).alias("end"),
             "motif",
             "name",
             "accession",

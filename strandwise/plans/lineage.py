@@ -44,6 +44,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Remove a table of `cut_lineage` that nothing unwritten reads any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if path.rsplit("/", 1)[-1].startswith("table-"):
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def freeze_partitions(df: DataFrame) -> DataFrame:
     """Checkpoint `df`, so that its partitions and their row order stay fixed."""
     sc = df.sparkSession.sparkContext

@@ -99,7 +99,7 @@ HEADERS = """headers AS (SELECT doc_id,
        ELSE concat('D', doc_id, ':1-', n_chars) END AS cds_id FROM documents)"""
 MOTIFS = f"""motifs AS (SELECT DISTINCT translate(word, '{derived.LETTERS}', '{derived.TO_IUPAC}') AS motif
   FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM documents)
-  WHERE length(word) BETWEEN 4 AND 12)"""
+  WHERE length(word) > 0)"""
 STRANDS = f"""w AS ({_windows('seqs', K, False)}),
 n AS (SELECT seq_id, kmer, count(*) AS n FROM w GROUP BY seq_id, kmer),
 both_strands AS (SELECT seq_id, kmer, n, kmer = {_rc('kmer')} AS palindrome FROM n
@@ -296,8 +296,9 @@ ORACLE: dict[str, str] = {
         "SELECT x.kmer AS a, y.kmer AS b, CAST(hamming(x.kmer, y.kmer) AS BIGINT) AS mismatches "
         "FROM retained x JOIN retained y ON x.kmer < y.kmer AND hamming(x.kmer, y.kmer) <= 2",
         SEQS,
-        _prevalence(r.PAIR_K),
-        _retained(r.PAIR_Q),
+        # Read several times: without this each reading computes it again.
+        _prevalence(r.PAIR_K).replace("prevalence AS (", "prevalence AS MATERIALIZED ("),
+        _retained(r.PAIR_Q).replace("retained AS (", "retained AS MATERIALIZED ("),
     ),
     "consensus_motif": _with(
         "SELECT n.cluster_id, concat('motif', n.n) AS motif_id, m.motif FROM "
@@ -410,6 +411,16 @@ ORACLE: dict[str, str] = {
     "amino_kmer_counts": _with(
         "SELECT accession, word, cnt FROM amino", CDS, _proteins(_valid(r.WORD_K)), ENCODED, AMINO_COUNTS
     ),
+    "predict_amino": _with(
+        "SELECT accession, CAST(p > 0.5 AS BIGINT) AS predict, round(p, 9) AS predict_proba FROM "
+        "(SELECT accession, 1 / (1 + exp(-CAST(sum(cnt * coalesce(coef, 0)) AS DOUBLE))) AS p FROM amino "
+        f"LEFT JOIN (VALUES {', '.join(f"('{w}', {c})" for w, c in r.AMINO_WEIGHTS.items())}) c(word, coef) "
+        "USING (word) GROUP BY accession)",
+        CDS,
+        _proteins(_valid(r.WORD_K)),
+        ENCODED,
+        AMINO_COUNTS,
+    ),
     "amino_high_abundance": _with(
         "SELECT word, total FROM totals WHERE total > (SELECT quantile_cont(total, 0.9) FROM totals)",
         CDS,

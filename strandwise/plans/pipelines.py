@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from strandwise.operators.clustering import kmer_clusters
 from strandwise.operators.features import motif_features, score_sequences
 from strandwise.operators.hits import motif_bed, motif_hits, motif_score_table
 from strandwise.operators.kmers import high_freq_kmers, sequence_prevalence
+from strandwise.operators.models import INTERCEPT, load_model
 from strandwise.operators.motifs import consensus_motif
+from strandwise.operators.proteins import amino_kmer_counts
 from strandwise.plans.lineage import cut_lineage
 
 
@@ -31,8 +35,45 @@ def map_motifs(seqs: DataFrame, motifs: DataFrame) -> DataFrame:
     return motif_bed(hits, scores)
 
 
+def _split_intercept(coefs: DataFrame, intercept: float) -> tuple[DataFrame, float]:
+    """A saved model keeps its intercept as a feature of its own; it is no motif."""
+    is_it = F.col("motif") == INTERCEPT
+    found = coefs.filter(is_it).agg(F.sum("coef")).first()[0] or 0.0
+    return coefs.filter(~is_it), intercept + found
+
+
 def predict_sequences(seqs: DataFrame, coefs: DataFrame, intercept: float = 0.0) -> DataFrame:
     """Score every sequence with a coefficient table, hit or not."""
+    coefs, intercept = _split_intercept(coefs, intercept)
     features = motif_features(motif_hits(seqs, coefs.select("motif")))
     ids = seqs.select(F.col("seq_id").alias("accession"))
     return score_sequences(features, coefs, intercept, ids)
+
+
+def predict_proteins(
+    cds: DataFrame,
+    coefs: DataFrame,
+    alphabet: dict[str, str] | None = None,
+    intercept: float = 0.0,
+) -> DataFrame:
+    """Score every accession of coding sequences by its protein words.
+
+    Words are as long as the model's; each length is counted once. An accession
+    without any known word gets the intercept's score.
+    """
+    coefs, intercept = _split_intercept(coefs, intercept)
+    widths = sorted(r[0] for r in coefs.select(F.length("motif")).distinct().collect())
+    counts = [
+        amino_kmer_counts(cds, k, alphabet).withColumnRenamed("word", "motif") for k in widths
+    ]
+    ids = cds.select("accession").distinct()
+    features = reduce(DataFrame.unionByName, counts) if counts else ids.selectExpr(
+        "accession", "CAST(NULL AS STRING) AS motif", "0L AS cnt"
+    )
+    return score_sequences(features, coefs, intercept, ids)
+
+
+def predict_saved(seqs: DataFrame, path: str) -> DataFrame:
+    """Score every sequence with the linear model that `save_model` wrote."""
+    model, _, coefs = load_model(seqs.sparkSession, path)
+    return predict_sequences(seqs, coefs, float(getattr(model, "intercept", 0.0)))

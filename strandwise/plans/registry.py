@@ -49,6 +49,7 @@ ALPHABET = {
     "D": "E", "R": "K", "K": "K", "C": "C", "P": "P", "G": "G", "X": "X",
 }
 WORD_K = 3
+AMINO_WEIGHTS = {"SSS": -0.375, "SLS": 0.25, "CKN": 1.125, "VKE": -0.5}
 WORD_WEIGHTS = {"SSSS": 0.4, "VKEV": -0.7, "SLS": 0.25, "CKN": 1.1}
 
 
@@ -363,6 +364,13 @@ def amino_high_abundance(spark, d):
     return proteins.amino_high_abundance(amino_kmer_counts(spark, d), 0.9)
 
 
+def predict_amino(spark, d):
+    """The protein words of a linear model, scored for every accession."""
+    weights = weight_table(spark, AMINO_WEIGHTS)
+    scored = pipelines.predict_proteins(derived.cds(spark, d), weights, ALPHABET)
+    return scored.select("accession", _big("predict"), _r9("predict_proba"))
+
+
 def amino_motif_locations(spark, d):
     return proteins.amino_motif_locations(
         derived.cds(spark, d), weight_table(spark, WORD_WEIGHTS), ALPHABET
@@ -394,7 +402,7 @@ def fasta_scan(spark, d):
 
 def bed_scan(spark, d):
     path = _scratch(spark, "bed")
-    tables.write_bed(motif_bed(spark, d), path, per_sequence=False)
+    tables.write_bed(motif_bed(spark, d), path)
     return tables.read_bed(spark, path).select(
         "chr", _big("start"), _big("end"), "name", _big("score")
     )
@@ -545,6 +553,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "amino_kmer_counts": amino_kmer_counts,
     "amino_high_abundance": amino_high_abundance,
     "amino_motif_locations": amino_motif_locations,
+    "predict_amino": predict_amino,
     "codon_usage": codon_usage,
     "relative_codon_freq": relative_codon_freq,
     "fasta_scan": fasta_scan,

@@ -85,11 +85,11 @@ def cds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def iupac_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`(motif)`: distinct words of 4 to 12 letters, spelled in IUPAC codes."""
+    """`(motif)`: distinct words, spelled in IUPAC codes."""
     docs = spread(documents(spark, sf_dir, "text"))
     words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
     return (
-        words.filter(F.length("word").between(4, 12))
+        words.filter(F.length("word") > 0)
         .select(F.translate("word", LETTERS, TO_IUPAC).alias("motif"))
         .distinct()
     )

@@ -19,30 +19,29 @@ COEFFICIENT_SCHEMA = "motif STRING, coef DOUBLE"
 
 def read_bed(spark: SparkSession, path: str, rvdb: bool = False) -> DataFrame:
     """One table of all headerless BED files in a folder (names contain `.bed`),
-    or in the folders that `write_bed` made of it.
+    and of both layouts of `write_bed`.
 
     `rvdb` turns piped sequence headers into their accession.
     """
-    return _bed(spark, f"{path}/*.bed*", rvdb)
-
-
-def _bed(spark: SparkSession, path: str, rvdb: bool) -> DataFrame:
     bed = (
         spark.read.schema(BED_SCHEMA)
         .option("sep", "\t")
         .option("recursiveFileLookup", True)
         .csv(path)
     )
+    # Spark names the files; a folder's name tells BED files from others beside them.
+    of_bed = F.col("_metadata.file_path").rlike(r"\.bed|/sequence=[^/]*/")
+    bed = bed.filter(of_bed).select(*bed.columns)
     return bed.withColumn("chr", accession("chr")) if rvdb else bed
 
 
-def write_bed(bed: DataFrame, path: str, per_sequence: bool = True) -> None:
-    """Headerless BED files, by default one folder `sequence=<id>` per sequence.
+def write_bed(bed: DataFrame, path: str, per_sequence: bool = False) -> None:
+    """Headerless BED files: one flat table, or one folder `sequence=<id>` per sequence.
 
     `|` in an id becomes `_` in the folder name. Rows are hashed by sequence and
     stretch of `BED_STRETCH` bases: a short sequence stays one file, a long one
-    with most of the hits is written by many tasks. `per_sequence=False` writes
-    one flat table, the better layout when there are very many sequences.
+    with most of the hits is written by many tasks. Very many sequences make
+    very many folders; the flat table has no such limit.
     """
     columns = ["chr", "start", "end", "name", "score"]
     if not per_sequence:
@@ -65,8 +64,8 @@ def write_bed(bed: DataFrame, path: str, per_sequence: bool = True) -> None:
 
 
 def read_bed_folders(spark: SparkSession, path: str, rvdb: bool = False) -> DataFrame:
-    """The table behind the per-sequence folders of `write_bed`."""
-    return _bed(spark, path, rvdb)
+    """The table behind the per-sequence folders of `write_bed`; `read_bed` knows them too."""
+    return read_bed(spark, path, rvdb)
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -76,12 +75,14 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     missing = {"accession", "label"} - set(header.columns)
     if missing:
         raise ValueError(f"metadata lacks {sorted(missing)}")
-    return header.select(
-        *[
-            (F.col(n) if n in header.columns else F.lit(None)).cast(t).alias(n)
-            for n, t in fields
-        ]
+    # Labels written as 1.0, as when some are missing, are whole numbers too.
+    number = F.col("label").cast("double")
+    whole = F.when(number == F.floor(number), number).when(
+        number.isNotNull(),
+        F.raise_error(F.concat(F.lit("not a whole label: "), F.col("label"))).cast("double"),
     )
+    columns = {n: F.col(n) if n in header.columns else F.lit(None) for n, _ in fields}
+    return header.select(*[(whole if n == "label" else columns[n]).cast(t).alias(n) for n, t in fields])
 
 
 def read_coefficients(spark: SparkSession, path: str) -> DataFrame:

@@ -267,6 +267,15 @@ def test_locations_do_not_overlap(spark):
     assert rows(got, "start") == [(0,), (2,), (4,), (6,), (8,), (10,)]
 
 
+def test_locations_of_repeated_ids(spark):
+    code = {"A": "GCT", "M": "ATG"}
+    text = lambda p: "".join(code[x] for x in p)
+    coefs = spark.createDataFrame([("AA", 0.5)], "motif STRING, coef DOUBLE")
+    df = cds(spark, ("x", "acc", text("MAA")), ("x", "acc", text("AAM")), ("x", "acc", text("AAM")))
+    got = proteins.amino_motif_locations(df, coefs, {"A": "A", "M": "M"})
+    assert rows(got, "start", "amino_match") == [(0, "AA"), (0, "AA"), (1, "AA")]
+
+
 def test_codons(spark):
     df = cds(spark, ("x", "A1", "CTTCTTCTCATG" + "AT"), ("y", "A2", "cttNNN"))
     usage = codons.codon_usage(df)

@@ -1,6 +1,8 @@
 import gzip
 import json
 
+import pytest
+
 from strandwise import sources
 from strandwise.operators.proteins import with_accession
 from strandwise.sources import fasta, tables
@@ -39,11 +41,12 @@ def test_fasta_round_trip(spark, tmp_path):
 def test_bed_both_layouts(spark, tmp_path):
     data = [("a|b|X1|c", 0, 3, "ACG", 667), ("s2", 5, 8, "ACG", 667), ("s2", 7, 10, "GGR", 333)]
     bed = spark.createDataFrame(data, tables.BED_SCHEMA)
-    tables.write_bed(bed, str(tmp_path / "many"))
+    tables.write_bed(bed, str(tmp_path / "many"), per_sequence=True)
     names = sorted(p.name for p in (tmp_path / "many").glob("sequence=*"))
     assert names == ["sequence=a_b_X1_c", "sequence=s2"]
+    assert rows(tables.read_bed(spark, str(tmp_path / "many")), *bed.columns) == sorted(data)
     assert rows(tables.read_bed_folders(spark, str(tmp_path / "many")), *bed.columns) == sorted(data)
-    tables.write_bed(bed, str(tmp_path / "flat"), per_sequence=False)
+    tables.write_bed(bed, str(tmp_path / "flat"))
     got = tables.read_bed(spark, str(tmp_path / "flat"), rvdb=True)
     assert rows(got, "chr", "start") == [("X1", 0), ("s2", 5), ("s2", 7)]
     (tmp_path / "files").mkdir()
@@ -109,3 +112,12 @@ def test_reports(spark, tmp_path):
     )
     kept = sorted(r["value"] for r in spark.read.text(str(tmp_path / "rc" / "motifs")).collect())
     assert kept == ["ACR", "YGT"]
+
+
+def test_labels_with_a_decimal_point(spark, tmp_path):
+    (tmp_path / "m.tsv").write_text("accession\tlabel\nA\t1.0\nB\t\nC\t-1\nD\t0.0\n")
+    got = {r.accession: r.label for r in sources.read_metadata(spark, str(tmp_path / "m.tsv")).collect()}
+    assert got == {"A": 1, "B": None, "C": -1, "D": 0}
+    (tmp_path / "n.tsv").write_text("accession\tlabel\nA\t0.5\n")
+    with pytest.raises(Exception, match="not a whole label"):
+        sources.read_metadata(spark, str(tmp_path / "n.tsv")).collect()
