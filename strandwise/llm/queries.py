@@ -46,7 +46,7 @@ def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text").withColumn("size", F.octet_length("text"))
-    out = chunks.without_repeats(docs)
+    out = chunks.without_passages(docs)
     cut = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["length"])
     return out.select(
         "doc_id",
