@@ -141,16 +141,24 @@ def fit(
         calibrate = np.zeros(len(label), bool)
     rows = [f for f, c in zip(found, calibrate, strict=True) if not c]
     y = label[~calibrate]
-    column = np.concatenate([r[0] for r in rows]).astype(np.int32)
-    value = np.concatenate([r[1] for r in rows]).astype(np.float32)
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
+    # Blocks of 256 rows, so that a step's temporaries stay small on the driver.
+    blocks = []
+    for at in range(0, len(rows), 256):
+        part = rows[at : at + 256]
+        column = np.concatenate([r[0] for r in part]).astype(np.int32)
+        value = np.concatenate([r[1] for r in part]).astype(np.float32)
+        row = np.repeat(np.arange(len(part), dtype=np.int32), [len(r[0]) for r in part])
+        blocks.append((at, len(part), column, value, row))
     weight, intercept = np.zeros(size), 0.0
-    ahead, ahead_b, rate = weight.copy(), 0.0, 4.0 / (1 + np.bincount(row, value**2).max())
+    ahead, ahead_b, rate = weight.copy(), 0.0, 4.0 / (1 + max(np.bincount(row, value**2, 1).max() for *_, value, row in blocks))
     # Both classes weigh the same while the direction is learnt; calibration restores the shares.
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     for step in range(steps):
-        slope = balance * (_logistic(np.bincount(row, value * ahead[column], len(y)) + ahead_b) - y) / len(y)
-        new = ahead - rate * (np.bincount(column, value * slope[row], size) + penalty * ahead)
+        margin = np.concatenate([np.bincount(row, value * ahead[column], n) for _, n, column, value, row in blocks])
+        slope = balance * (_logistic(margin + ahead_b) - y) / len(y)
+        new = ahead - rate * penalty * ahead
+        for at, _, column, value, row in blocks:
+            new -= rate * np.bincount(column, value * slope[at:][row], size)
         new_b = ahead_b - rate * slope.sum()
         push = step / (step + 3)
         ahead, ahead_b = new + push * (new - weight), new_b + push * (new_b - intercept)
