@@ -1,8 +1,10 @@
 """Sparse linear and boosted-tree models with group-aware cross-validation.
 
-Features stay long until the vector boundary. Every fit is a distributed
-`pyspark.ml` job; the driver only holds vocabularies, coefficient vectors and
-one score per parameter.
+Features stay long until the vector boundary. A grid search of linear models
+solves all splits and penalties together (`solver`); the chosen parameter is
+refitted by a distributed `pyspark.ml` job. The driver holds vocabularies, a
+bounded block of coefficient vectors and one score per split and parameter.
+Resampled rows aren't copied: a row drawn n times weighs n.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from dataclasses import dataclass
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     GBTClassificationModel,
@@ -24,7 +27,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.functions.scoring import accuracy, negative_brier, sigmoid
+from strandwise.functions.scoring import accuracy, negative_brier
+from strandwise.operators import solver
 from strandwise.operators.features import (
     MAX_VOCABULARY,
     binarize_features,
@@ -35,8 +39,8 @@ from strandwise.operators.features import (
 )
 from strandwise.operators.sampling import (
     group_shuffle_split,
+    resample_weights,
     stratified_kfold,
-    stratified_resample,
 )
 from strandwise.plans.lineage import cut_lineage
 
@@ -60,6 +64,8 @@ INTERCEPT = "(intercept)"
 # Training rows worth a task of their own; every solver step is one job, so a
 # small training set in many partitions only pays scheduling.
 ROWS_PER_TASK = 20_000
+# Margins (rows x models) worth a task of their own in a pass of the batched search.
+CELLS_PER_TASK = 1_000_000
 
 
 @dataclass
@@ -77,13 +83,15 @@ class FitResult:
 
 @dataclass
 class _Training:
-    """Long features, one label row per example, and vectors, all by `accession`."""
+    """Long features, one weighted label row per example, and vectors, all by `accession`."""
 
     features: DataFrame
     rows: DataFrame
     vectors: DataFrame
     vocab: list[str]
+    #: Sum of the rows' weights, and rows.
     n: int
+    n_rows: int
 
 
 def to_vectors(
@@ -131,25 +139,23 @@ def _training(
     if binary:
         cells = binarize_features(cells)
     if resample:
-        drawn = cut_lineage(
-            stratified_resample(rows, resample, "groups", "accession", seed).withColumn(
-                "row_id", F.concat_ws("#", "accession", "draw_no")
-            )
-        )
-        cells = drawn.select("accession", "row_id").join(cells, "accession").select(
-            F.col("row_id").alias("accession"), "motif", "cnt"
-        )
-        rows = drawn.select(F.col("row_id").alias("accession"), "label", "groups")
+        weights = resample_weights(rows, resample, "groups", "accession", seed)
+        rows = rows.join(weights.select("accession", "weight"), "accession")
+    else:
+        rows = rows.withColumn("weight", F.lit(1.0))
     if constant:
         one = F.lit(1).cast(dict(cells.dtypes)["cnt"])
         cells = cells.unionByName(
             rows.select("accession", F.lit(INTERCEPT).alias("motif"), one.alias("cnt"))
         )
-    cells, rows = cut_lineage(cells), cut_lineage(rows.withColumn("label", F.col("label").cast("double")))
+    doubles = {c: F.col(c).cast("double") for c in ("label", "weight")}
+    rows = cut_lineage(rows.withColumns(doubles))
+    # Features of rows that weren't drawn are none of the model's.
+    cells = cut_lineage(cells.join(rows.select("accession"), "accession", "left_semi"))
     vocab = vocabulary_list(vocabulary(cells), max_features)
-    n = rows.count()
-    vectors = _packed(to_vectors(cells, vocab, rows).join(rows, "accession"), n)
-    return _Training(cells, rows, cut_lineage(vectors), vocab, n)
+    sizes = rows.agg(F.count("*"), F.sum("weight")).first()
+    vectors = _packed(to_vectors(cells, vocab, rows).join(rows, "accession"), sizes[0])
+    return _Training(cells, rows, cut_lineage(vectors), vocab, int(sizes[1] or 0), sizes[0])
 
 
 def _packed(df: DataFrame, n: int) -> DataFrame:
@@ -190,63 +196,59 @@ def _nonzero(model, vocab: Sequence[str]) -> list[tuple[str, float]]:
 
 def _search_linear(
     t: _Training,
-    members: DataFrame,
-    train: Callable[[int], DataFrame],
+    held: DataFrame,
+    by: str,
     params: Sequence[float],
-    estimator: Callable[[float, int], LogisticRegression],
+    estimator: Callable[[float, float], LogisticRegression],
     metric: str,
-    parallelism: int,
+    max_iter: int,
+    tol: float,
 ) -> FitResult:
-    """Grid search of linear models.
+    """Grid search of linear models: every split and parameter in one batch.
 
-    `members` lists the test rows (`split, accession, label`). All fitted
-    coefficients of all splits are scored together in one join.
+    `held` lists what each split holds out (`split` and the column `by` of the
+    rows). The penalties are those of `estimator`, so search and refit agree.
     """
     spark = t.rows.sparkSession
-    held = {r["split"]: r["n"] for r in members.groupBy("split").agg(F.count("*").alias("n")).collect()}
-    coefs, intercepts = [], []
-    for split in sorted(held):
-        n_train = t.n - held[split]
-        part = _packed(train(split), n_train).persist()
-
-        def fit(param: float, part: DataFrame = part, n_train: int = n_train):
-            return param, estimator(param, n_train).fit(part)
-
-        fitted = _parallel([lambda p=p: fit(p) for p in params], parallelism)
-        for param, model in fitted:
-            coefs += [(split, float(param), f, w) for f, w in _nonzero(model, t.vocab)]
-            intercepts.append((split, float(param), float(model.intercept)))
-        part.unpersist()
-
-    weights = spark.createDataFrame(coefs, "split INT, param DOUBLE, motif STRING, coef DOUBLE")
-    offsets = spark.createDataFrame(intercepts, "split INT, param DOUBLE, intercept DOUBLE")
-    linear = (
-        t.features.join(members.select("split", "accession"), "accession")
-        .join(weights, ["split", "motif"])
-        .groupBy("split", "param", "accession")
-        .agg(F.sum(F.col("cnt") * F.col("coef")).alias("z"))
-    )
-    scored = (
-        members.join(offsets, "split")
-        .join(linear, ["split", "param", "accession"], "left")
-        .withColumn("p", sigmoid(F.coalesce("z", F.lit(0.0)) + F.col("intercept")))
-    )
-    if metric == "neg_brier":
-        score = negative_brier("p", "label")
-    else:
-        score = accuracy("label", (F.col("p") > 0.5).cast("double"))
-    table = cut_lineage(cv_results(scored.groupBy("split", "param").agg(score.alias("score"))))
+    held = cut_lineage(held.select(F.col("split").cast("int").alias("split"), by))
+    numbers = spark.createDataFrame(list(enumerate(t.vocab)), "idx BIGINT, feature STRING")
+    data = cut_lineage(solver.design(t.features, t.rows, numbers, held, by))
+    sizes = {
+        r["split"]: r["w"]
+        for r in data.select("weight", F.explode("held").alias("split"))
+        .groupBy("split").agg(F.sum("weight").alias("w")).collect()
+    }
+    searched = [(split, float(p)) for split in sorted(sizes) for p in params]
+    first = estimator(float(params[0]), t.n)
+    free = first.getFitIntercept()
+    width = len(t.vocab) + free
+    if free:  # a constant feature without a penalty
+        one = F.lit(len(t.vocab)).cast("int")
+        data = data.withColumn("idx", F.concat("idx", F.array(one))).withColumn("val", F.concat("val", F.array(F.lit(1.0))))
+    l1, l2 = np.zeros((len(searched), width)), np.zeros((len(searched), width))
+    for i, (split, param) in enumerate(searched):
+        e = estimator(param, t.n - sizes[split])
+        share = e.getElasticNetParam()
+        l1[i, : len(t.vocab)], l2[i, : len(t.vocab)] = e.getRegParam() * share, e.getRegParam() * (1 - share)
+    tasks = -(-t.n_rows * max(1, min(len(searched), solver.SOLVE_CELLS // max(width, 1))) // CELLS_PER_TASK)
+    data = data.repartition(max(1, min(tasks, -(-t.n_rows // 64)))).persist()
+    split = np.array([s for s, _ in searched], np.int64)
+    w = solver.solve(data, solver.Models(split, l1, l2), max_iter, tol)
+    brier, right = solver.held_out_scores(data, w, split)
+    data.unpersist()
+    scores = brier if metric == "neg_brier" else right
+    found = [(s, p, float(x)) for (s, p), x in zip(searched, scores)]
+    table = cut_lineage(cv_results(spark.createDataFrame(found, "split INT, param DOUBLE, score DOUBLE")))
     best = _best(table)
     model = estimator(best, t.n).fit(t.vectors)
-    found = _nonzero(model, t.vocab)
-    coefficients = spark.createDataFrame(found, "motif STRING, coef DOUBLE")
-    right = model.transform(t.vectors).agg(accuracy("label", "prediction").alias("a")).first()["a"]
-    return FitResult(model, t.vocab, coefficients, table, best, right, t.n)
+    kept = _nonzero(model, t.vocab)
+    coefficients = spark.createDataFrame(kept, "motif STRING, coef DOUBLE")
+    return FitResult(model, t.vocab, coefficients, table, best, _train_accuracy(model, t), t.n)
 
 
-def _group_members(t: _Training, splits: DataFrame) -> DataFrame:
-    held_out = splits.filter("is_test").select("split", "groups")
-    return cut_lineage(t.rows.join(held_out, "groups").select("split", "accession", "label"))
+def _train_accuracy(model, t: _Training) -> float:
+    right = (F.col("label") == F.col("prediction")).cast("double") * F.col("weight")
+    return model.transform(t.vectors).agg((F.sum(right) / F.sum("weight")).alias("a")).first()["a"]
 
 
 def _group_train(t: _Training, splits: DataFrame) -> Callable[[int], DataFrame]:
@@ -257,6 +259,18 @@ def _group_train(t: _Training, splits: DataFrame) -> Callable[[int], DataFrame]:
     return train
 
 
+def _penalised(max_iter: int, tol: float) -> Callable[[float, float], LogisticRegression]:
+    """`|w|_1 + C * sum(loss)` is Spark's `mean(loss) + |w|_1 / (C * n)`, n the sum of weights."""
+    def estimator(c: float, n: float) -> LogisticRegression:
+        return LogisticRegression(
+            featuresCol="x", labelCol="label", weightCol="weight", family="binomial", elasticNetParam=1.0,
+            regParam=1.0 / (c * n), fitIntercept=False, standardization=False,
+            maxIter=max_iter, tol=tol,
+        )
+
+    return estimator
+
+
 def fit_l1_gss(
     features: DataFrame,
     meta: DataFrame,
@@ -269,40 +283,21 @@ def fit_l1_gss(
     tol: float = 1e-8,
     value: str = "cnt",
     binary: bool = False,
-    parallelism: int = 4,
     max_features: int = MAX_VOCABULARY,
 ) -> FitResult:
     """L1 logistic regression without intercept, C chosen by group splits and
     negative Brier score, refitted on all rows.
 
-    The penalty `|w|_1 + C * sum(loss)` is Spark's `mean(loss) + |w|_1 / (C * n)`.
     Used for motif counts, amino words and relative codon frequencies alike.
     """
     t = _training(features, meta, value, resample, seed, max_features, binary=binary)
-    splits = cut_lineage(group_shuffle_split(t.rows, "groups", n_splits, test_size, seed))
+    splits = group_shuffle_split(t.rows, "groups", n_splits, test_size, seed).filter("is_test")
+    return _search_linear(t, splits, "groups", cs, _penalised(max_iter, tol), "neg_brier", max_iter, tol)
 
-    def estimator(c: float, n: int) -> LogisticRegression:
-        return LogisticRegression(
-            featuresCol="x", labelCol="label", family="binomial", elasticNetParam=1.0,
-            regParam=1.0 / (c * n), fitIntercept=False, standardization=False,
-            maxIter=max_iter, tol=tol,
-        )
-
-    members = _group_members(t, splits)
-    return _search_linear(
-        t, members, _group_train(t, splits), cs, estimator, "neg_brier", parallelism
-    )
-
-
-def _search_folds(t, folds, seed, params, estimator, parallelism) -> FitResult:
-    dealt = cut_lineage(stratified_kfold(t.rows, "label", "accession", folds, seed))
-    members = dealt.select(F.col("fold").alias("split"), "accession", "label")
 
-    def train(split: int) -> DataFrame:
-        kept = dealt.filter(F.col("fold") != split).select("accession")
-        return t.vectors.join(kept, "accession", "left_semi")
-
-    return _search_linear(t, members, train, params, estimator, "accuracy", parallelism)
+def _search_folds(t, folds, seed, params, estimator, max_iter, tol) -> FitResult:
+    dealt = stratified_kfold(t.rows, "label", "accession", folds, seed).withColumnRenamed("fold", "split")
+    return _search_linear(t, dealt, "accession", params, estimator, "accuracy", max_iter, tol)
 
 
 def fit_l1_cv(
@@ -314,7 +309,6 @@ def fit_l1_cv(
     tol: float = 1e-8,
     seed: int = 0,
     value: str = "cnt",
-    parallelism: int = 4,
     max_features: int = MAX_VOCABULARY,
 ) -> FitResult:
     """L1 logistic regression, C chosen by stratified folds and accuracy.
@@ -322,15 +316,7 @@ def fit_l1_cv(
     The intercept is penalised like a weight: it is a feature that is always 1.
     """
     t = _training(features, meta, value, 0, seed, max_features, constant=True)
-
-    def estimator(c: float, n: int) -> LogisticRegression:
-        return LogisticRegression(
-            featuresCol="x", labelCol="label", family="binomial", elasticNetParam=1.0,
-            regParam=1.0 / (c * n), fitIntercept=False, standardization=False,
-            maxIter=max_iter, tol=tol,
-        )
-
-    return _search_folds(t, folds, seed, cs, estimator, parallelism)
+    return _search_folds(t, folds, seed, cs, _penalised(max_iter, tol), max_iter, tol)
 
 
 def fit_elastic_net(
@@ -342,20 +328,19 @@ def fit_elastic_net(
     tol: float = 1e-8,
     seed: int = 0,
     value: str = "cnt",
-    parallelism: int = 4,
     max_features: int = MAX_VOCABULARY,
 ) -> FitResult:
     """Elastic-net logistic regression with a free intercept, alpha by folds."""
     t = _training(features, meta, value, 0, seed, max_features)
 
-    def estimator(alpha: float, n: int) -> LogisticRegression:
+    def estimator(alpha: float, n: float) -> LogisticRegression:
         return LogisticRegression(
-            featuresCol="x", labelCol="label", family="binomial",
+            featuresCol="x", labelCol="label", weightCol="weight", family="binomial",
             elasticNetParam=ELASTIC_NET_L1_RATIO, regParam=alpha, fitIntercept=True,
             standardization=False, maxIter=max_iter, tol=tol,
         )
 
-    return _search_folds(t, folds, seed, alphas, estimator, parallelism)
+    return _search_folds(t, folds, seed, alphas, estimator, max_iter, tol)
 
 
 def tree_grid(grid: dict[str, Sequence]) -> list[dict]:

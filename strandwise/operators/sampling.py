@@ -72,14 +72,8 @@ def stratum_quotas(
     return ranked.select(*by, strata, "size", (F.col("_base") + extra).alias("quota"))
 
 
-def stratified_resample(
-    df: DataFrame, n: int, strata: str, key: str, seed: int, by: Sequence[str] = ()
-) -> DataFrame:
-    """n rows drawn with replacement (per `by` group), strata in proportion.
-
-    Adds `draw_no`, the draw's number inside its stratum; rows drawn twice stay
-    apart through it. `key` names one row inside each `by` group.
-    """
+def _draws(df: DataFrame, n: int, strata: str, key: str, seed: int, by: Sequence[str]) -> DataFrame:
+    """`by..., strata, key, draw_no`: the n draws (per `by` group), without the rows' other columns."""
     groups = [*by, strata]
     members = df.select(*groups, key).withColumn("_h", _hash(seed, F.col(key).cast("string")))
     ranked = rank_within(members, groups, ["_h", key], "_rank").drop("_h")
@@ -97,8 +91,30 @@ def stratified_resample(
     picks = draws.select(
         *groups, "draw_no", F.pmod(_hash_number(digest), F.col("size")).alias("_rank")
     )
-    chosen = picks.join(ranked, [*groups, "_rank"]).select(*groups, key, "draw_no")
-    return chosen.join(df, [*groups, key])
+    return picks.join(ranked, [*groups, "_rank"]).select(*groups, key, "draw_no")
+
+
+def stratified_resample(
+    df: DataFrame, n: int, strata: str, key: str, seed: int, by: Sequence[str] = ()
+) -> DataFrame:
+    """n rows drawn with replacement (per `by` group), strata in proportion.
+
+    Adds `draw_no`, the draw's number inside its stratum; rows drawn twice stay
+    apart through it. `key` names one row inside each `by` group.
+    """
+    return _draws(df, n, strata, key, seed, by).join(df, [*by, strata, key])
+
+
+def resample_weights(
+    df: DataFrame, n: int, strata: str, key: str, seed: int, by: Sequence[str] = ()
+) -> DataFrame:
+    """`by..., strata, key, weight`: how often the same draws take each row.
+
+    Whatever counts a drawn row once a draw can count the row once and add its
+    weight, so drawn rows need no copies. Rows that no draw takes are absent.
+    """
+    drawn = _draws(df, n, strata, key, seed, by)
+    return drawn.groupBy(*by, strata, key).agg(F.count("*").alias("weight"))
 
 
 def group_shuffle_split(

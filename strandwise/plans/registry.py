@@ -432,7 +432,8 @@ def stream_scores(spark, d):
 
 
 # --- models ----------------------------------------------------------------
-FIT = {"n_splits": 3, "test_size": 0.2, "seed": 7, "max_iter": 100}
+# Splits, test share, penalties and iterations are the functions' defaults.
+FIT_SEED = 7
 
 
 def _fit_features(spark, d) -> DataFrame:
@@ -445,9 +446,7 @@ def _record_cds(spark, d) -> DataFrame:
 
 
 def _l1_gss(spark, d) -> models.FitResult:
-    return models.fit_l1_gss(
-        _fit_features(spark, d), derived.metadata(spark, d), [0.1, 1.0, 10.0], **FIT
-    )
+    return models.fit_l1_gss(_fit_features(spark, d), derived.metadata(spark, d), seed=FIT_SEED)
 
 
 def fit_l1_gss(spark, d):
@@ -455,8 +454,9 @@ def fit_l1_gss(spark, d):
 
 
 def cv_results(spark, d):
+    """The search over resampled rows: a row drawn n times weighs n."""
     result = models.fit_l1_gss(
-        _fit_features(spark, d), derived.metadata(spark, d), [1.0, 100.0], resample=DRAWS, **FIT
+        _fit_features(spark, d), derived.metadata(spark, d), resample=DRAWS, seed=FIT_SEED
     )
     return result.cv_results
 
@@ -467,13 +467,13 @@ def model_coefficients(spark, d):
 
 def fit_l1_cv(spark, d):
     return models.fit_l1_cv(
-        _fit_features(spark, d), derived.metadata(spark, d), 3, [0.01, 1.0, 100.0], 100, seed=7
+        _fit_features(spark, d), derived.metadata(spark, d), seed=FIT_SEED
     ).cv_results
 
 
 def fit_elastic_net(spark, d):
     return models.fit_elastic_net(
-        _fit_features(spark, d), derived.metadata(spark, d), 3, [0.1, 0.001], 100, seed=7
+        _fit_features(spark, d), derived.metadata(spark, d), seed=FIT_SEED
     ).cv_results
 
 
@@ -481,7 +481,7 @@ def fit_amino_gss(spark, d):
     counts = proteins.amino_kmer_counts(_record_cds(spark, d), 2, ALPHABET)
     words = counts.withColumnRenamed("word", "motif")
     return models.fit_l1_gss(
-        words, derived.metadata(spark, d), [0.1, 1.0], binary=True, **FIT
+        words, derived.metadata(spark, d), binary=True, seed=FIT_SEED
     ).cv_results
 
 
@@ -489,7 +489,7 @@ def fit_codon_gss(spark, d):
     shares = codons.relative_codon_freq(codons.codon_usage(_record_cds(spark, d)))
     named = shares.select("accession", F.col("codon").alias("motif"), "rel_freq")
     return models.fit_l1_gss(
-        named, derived.metadata(spark, d), [1.0, 10.0], value="rel_freq", **FIT
+        named, derived.metadata(spark, d), value="rel_freq", seed=FIT_SEED
     ).cv_results
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandwise.operators import models
+from strandwise.operators import models, sampling, solver
 from strandwise.sources import tables
 from strandwise.streaming import scoring
 
@@ -102,3 +102,81 @@ def test_stream_scores_each_file_once(spark, tmp_path):
         scoring.score_stream(seqs, coefs, out, state).awaitTermination()
     got = {r["accession"]: r["predict_proba"] for r in scoring.read_scores(spark, out).collect()}
     assert got["a"] == pytest.approx(1 / (1 + np.exp(-1.0))) and got["b"] == 0.5 and len(got) == 2
+
+
+def wide_rows(feats, meta, vocab):
+    return (
+        feats.join(meta.filter("label > -1"), "accession")
+        .groupBy("accession", "label", "groups").pivot("motif", vocab).sum("cnt").fillna(0).toPandas()
+    )
+
+
+def test_batched_search_equals_single_fits(data):
+    """Every split and penalty against a plain solve of its own training rows."""
+    feats, meta = data
+    cs = [0.05, 1.0, 50.0]
+    fit = models.fit_l1_gss(feats, meta, cs, n_splits=4, test_size=0.25, seed=5)
+    rows = wide_rows(feats, meta, fit.vocab)
+    x, y = rows[fit.vocab].to_numpy(float), rows["label"].to_numpy(float)
+    held = sampling.group_shuffle_split(meta.filter("label > -1"), "groups", 4, 0.25, 5).filter("is_test").toPandas()
+    scores = {c: [] for c in cs}
+    for _, names in held.groupby("split")["groups"]:
+        out = rows["groups"].isin(names).to_numpy()
+        for c in cs:
+            w = l1_loss_minimum(x[~out], y[~out], c)
+            p = 1 / (1 + np.exp(-x[out] @ w))
+            scores[c].append(-np.mean((p - y[out]) ** 2))
+    for r in fit.cv_results.collect():
+        assert r["mean_test_score"] == pytest.approx(np.mean(scores[r["param"]]), abs=2e-5)
+        assert r["std_test_score"] == pytest.approx(np.std(scores[r["param"]]), abs=2e-5)
+
+
+def test_solver_matches_ml_fits_and_blocks(spark, data, monkeypatch):
+    """Elastic net with a free coordinate, sparse path, several blocks of models: the same minima."""
+    feats, meta = data
+    labels = meta.filter("label > -1").withColumn("weight", F.lit(1.0))
+    vocab = spark.createDataFrame([(i, f"M{i}") for i in range(5)], "idx BIGINT, feature STRING")
+    cells = feats.join(labels, "accession", "left_semi")
+    found = solver.design(cells, labels, vocab, None).persist()
+    l1, l2 = np.full((3, 5), 0.02), np.full((3, 5), 0.05)
+    l1[2] = l2[2] = 0.0
+    m = solver.Models(np.full(3, -1), l1, l2)
+    w = solver.solve(found, m)
+    rows = wide_rows(feats, meta, [f"M{i}" for i in range(5)])
+    x, y = rows[[f"M{i}" for i in range(5)]].to_numpy(float), rows["label"].to_numpy(float)
+    for k in range(3):
+        slope = x.T @ (1 / (1 + np.exp(-x @ w[k])) - y) / len(y) + l2[k] * w[k]
+        used = w[k] != 0
+        assert np.allclose(slope[used] + l1[k][used] * np.sign(w[k][used]), 0, atol=1e-5)
+        assert (np.abs(slope[~used]) <= l1[k][~used] + 1e-6).all()
+    monkeypatch.setattr(solver, "SOLVE_CELLS", 5)
+    assert np.allclose(solver.solve(found, m), w, atol=1e-5)
+    batch = found.toArrow().combine_chunks().to_batches()[0]
+    dense = solver._Rows(batch, 5, np.zeros(0, np.int64))
+    sparse = solver._Rows(batch, 5, np.zeros(0, np.int64))
+    sparse.dense = None
+    rest = np.linspace(-1, 1, batch.num_rows * 3).reshape(-1, 3)
+    assert np.allclose(dense.margins(w), sparse.margins(w))
+    assert np.allclose(dense.gradient(rest, 5), sparse.gradient(rest, 5))
+    assert sum(c.num_rows for c in solver._chunks(iter([batch]), 5, 3)) == batch.num_rows
+
+
+def test_weighted_rows_equal_copied_rows(spark, data):
+    """A row drawn n times weighs n: the same model, scores and sizes as n copies."""
+    feats, meta = data
+    kept = meta.filter("label > -1")
+    fit = models.fit_l1_gss(feats, meta, [0.1, 10.0], n_splits=3, test_size=0.25, resample=150, seed=5)
+    used = feats.select("accession").distinct().join(kept, "accession")
+    drawn = sampling.stratified_resample(used, 150, "groups", "accession", 5)
+    weights = sampling.resample_weights(used, 150, "groups", "accession", 5)
+    assert drawn.count() == 150 == weights.agg(F.sum("weight")).first()[0] and weights.count() < 150
+    copies = drawn.withColumn("copy", F.concat_ws("#", "accession", "draw_no"))
+    copied = copies.join(feats, "accession").select(F.col("copy").alias("accession"), "motif", "cnt")
+    named = copies.select(F.col("copy").alias("accession"), "label", "species", "groups")
+    plain = models.fit_l1_gss(copied, named, [0.1, 10.0], n_splits=3, test_size=0.25, seed=5)
+    assert fit.n_rows == plain.n_rows == 150 and fit.best == plain.best
+    assert fit.train_accuracy == pytest.approx(plain.train_accuracy)
+    for a, b in zip(fit.cv_results.collect(), plain.cv_results.collect()):
+        assert a["param"] == b["param"] and a["mean_test_score"] == pytest.approx(b["mean_test_score"], abs=1e-5)
+    own = {r["motif"]: r["coef"] for r in fit.coefficients.collect()}
+    assert own == pytest.approx({r["motif"]: r["coef"] for r in plain.coefficients.collect()}, abs=1e-4)
