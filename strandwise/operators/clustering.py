@@ -62,10 +62,18 @@ def _relabel(df: DataFrame, merges: DataFrame, col: str) -> DataFrame:
 
 
 def kmer_clusters(
-    kmers: DataFrame, k: int, n: float = 4.0, seed: int = 0, bucket_rows: int = BUCKET_ROWS
+    kmers: DataFrame,
+    k: int,
+    n: float = 4.0,
+    seed: int = 0,
+    bucket_rows: int = BUCKET_ROWS,
+    by: str | None = None,
 ) -> DataFrame:
     """`kmer, cluster_id`: average-linkage clusters cut at `round(n / k, 2)`.
 
+    With `by` each of its groups is clustered on its own, all in the same
+    rounds; cluster ids differ between groups.
+
     Starts from the pairs within the cut and merges, round by round, every pair
     of clusters that are each other's nearest. Average linkage is reducible, so
     this equals the one-merge-at-a-time algorithm with the same tie order, and a
@@ -75,19 +83,20 @@ def kmer_clusters(
     each round is written to the shared folder.
     """
     cut, radius = cut_radius(k, n)
+    part = [by] if by else []
     ranked = dense_index(
-        kmers.select("kmer").distinct().withColumn("_h", F.xxhash64(F.lit(seed), "kmer")),
-        ["_h", "kmer"],
+        kmers.select("kmer", *part).distinct().withColumn("_h", F.xxhash64(F.lit(seed), "kmer")),
+        ["_h", "kmer", *part],
         "cid",
-    ).select("kmer", "cid")
+    ).select("kmer", *part, "cid")
     members = cut_lineage(ranked)
     clusters = members.select("cid", F.lit(1).cast("bigint").alias("n"), _profile("kmer", k).alias("profile"))
-    pairs = hamming_pairs(members.select("kmer"), radius, bucket_rows)
-    ids = members.select(F.col("kmer").alias("a"), F.col("cid").alias("ca"))
-    ids_b = members.select(F.col("kmer").alias("b"), F.col("cid").alias("cb"))
+    pairs = hamming_pairs(members.select("kmer", *part), radius, bucket_rows, by)
+    ids = members.select(*part, F.col("kmer").alias("a"), F.col("cid").alias("ca"))
+    ids_b = members.select(*part, F.col("kmer").alias("b"), F.col("cid").alias("cb"))
     edges = (
-        pairs.join(ids, "a")
-        .join(ids_b, "b")
+        pairs.join(ids, [*part, "a"])
+        .join(ids_b, [*part, "b"])
         .select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
     )
     former: list[DataFrame] = []  # read by this round's edges, and by nothing once those are scored
@@ -120,4 +129,4 @@ def kmer_clusters(
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             .distinct()
         )
-    return members.select("kmer", F.col("cid").alias("cluster_id"))
+    return members.select(*part, "kmer", F.col("cid").alias("cluster_id"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandwise.functions.nucleotide import has_ambiguity
 from strandwise.operators.windows import strand_windows
-from strandwise.plans.lineage import by_record, dense_index
+from strandwise.plans.lineage import broadcast_if_small, by_record, dense_index
 
 
 def _both_strands(df: DataFrame, keep: Sequence[str], value: Column, name: str) -> DataFrame:
@@ -79,19 +79,35 @@ def sequence_prevalence(
     return drop_ambiguous(_both_strands(per_pair, [], F.col("n"), "prevalence"))
 
 
-def above_quantile(df: DataFrame, value: str, q: float) -> DataFrame:
-    """Rows whose value is strictly above the exact, interpolated quantile.
+def weighted_prevalence(records: DataFrame, by: str, k: int = 17, include_last: bool = False) -> DataFrame:
+    """`by, kmer, prevalence`: the weight of the records of each `by` that hold a k-mer.
+
+    `records` holds `by, draw_id, seq_id, seq, weight`. A record that several
+    draws took is cut into windows once and counts with its weight, as that many
+    copies would.
+    """
+    key = [by, "draw_id", "seq_id", "weight"]
+    spread = by_record(records.select(*key, "seq"), *key)
+    pairs = strand_windows(spread, k, include_last, key).distinct()
+    per_pair = pairs.groupBy(by, "lo", "hi").agg(F.sum("weight").alias("n"))
+    return drop_ambiguous(_both_strands(per_pair, [by], F.col("n"), "prevalence"))
+
+
+def above_quantile(df: DataFrame, value: str, q: float, by: Sequence[str] = ()) -> DataFrame:
+    """Rows whose value is strictly above the exact, interpolated quantile (of their `by` group).
 
     The quantile is taken from the histogram of values, which has far fewer
     rows than `df`.
     """
-    histogram = df.groupBy(value).agg(F.count("*").alias("_freq"))
-    cut = histogram.agg(F.percentile(value, q, F.col("_freq")).alias("_cut"))
-    return df.filter(F.col(value) > cut.scalar())
+    histogram = df.groupBy(*by, value).agg(F.count("*").alias("_freq"))
+    cut = histogram.groupBy(*by).agg(F.percentile(value, q, F.col("_freq")).alias("_cut"))
+    if not by:
+        return df.filter(F.col(value) > cut.scalar())
+    return df.join(broadcast_if_small(cut), list(by)).filter(F.col(value) > F.col("_cut")).drop("_cut")
 
 
-def high_freq_kmers(prevalence: DataFrame, q: float = 0.95) -> DataFrame:
-    return above_quantile(prevalence, "prevalence", q)
+def high_freq_kmers(prevalence: DataFrame, q: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
+    return above_quantile(prevalence, "prevalence", q, by)
 
 
 def kmer_index(kmers: DataFrame) -> DataFrame:

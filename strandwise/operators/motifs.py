@@ -12,7 +12,7 @@ from strandwise.functions.nucleotide import (
     represented_bases,
     reverse_complement,
 )
-from strandwise.plans.lineage import dense_index
+from strandwise.plans.lineage import rank_within
 
 
 def motif_degeneracy(motifs: DataFrame) -> DataFrame:
@@ -48,23 +48,26 @@ def rev_comp_ratio(motifs: DataFrame) -> DataFrame:
     return pair.agg((F.sum(shared) / F.sum(size)).alias("rev_comp_ratio"))
 
 
-def consensus_motif(clusters: DataFrame, prefix: str = "motif") -> DataFrame:
+def consensus_motif(clusters: DataFrame, prefix: str = "motif", by: str | None = None) -> DataFrame:
     """`cluster_id, motif_id, motif`: the IUPAC consensus of each cluster.
 
+    With `by` clusters are numbered inside each of its groups.
+
     `clusters` holds `cluster_id, kmer`. Per base one bit plane is OR-ed over
     the members: four BIGINTs per cluster, combined map-side, however large the
     cluster. Clusters are numbered by their smallest k-mer.
     """
     planes = {b: F.bit_or(bit_plane("kmer", b)).alias(f"_{b}") for b in "ACGT"}
-    merged = clusters.groupBy("cluster_id").agg(
+    part = [by] if by else []
+    merged = clusters.groupBy(*part, "cluster_id").agg(
         *planes.values(),
         F.max(F.length("kmer")).alias("_k"),
         F.min("kmer").alias("_first"),
     )
     motif = iupac_from_planes(*[F.col(f"_{b}") for b in "ACGT"], F.col("_k"))
-    numbered = dense_index(
-        merged.select("cluster_id", "_first", motif.alias("motif")), ["_first"], "_n"
+    numbered = rank_within(
+        merged.select(*part, "cluster_id", "_first", motif.alias("motif")), part, ["_first"], "_n"
     )
     return numbered.select(
-        "cluster_id", F.concat(F.lit(prefix), F.col("_n")).alias("motif_id"), "motif"
+        *part, "cluster_id", F.concat(F.lit(prefix), F.col("_n")).alias("motif_id"), "motif"
     )

@@ -75,14 +75,19 @@ def _bucket_pairs(rows: DataFrame, max_mismatches: int) -> DataFrame:
         a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.kmer") < F.col("b.kmer")))
         .withColumn("mismatches", differing.cast("int"))
         .filter((F.col("mismatches") <= max_mismatches) & ~met_before)
-        .select(F.col("a.kmer").alias("a"), F.col("b.kmer").alias("b"), "mismatches")
+        .select(F.col("a.kmer").alias("a"), F.col("b.kmer").alias("b"), "mismatches", F.col("a.part"))
     )
 
 
-def hamming_pairs(kmers: DataFrame, max_mismatches: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def hamming_pairs(
+    kmers: DataFrame, max_mismatches: int, bucket_rows: int = BUCKET_ROWS, by: str | None = None
+) -> DataFrame:
     """`a, b, mismatches` (a < b): all pairs of distinct ACGT k-mers of one length
     with at most `max_mismatches` differing positions. Exact.
 
+    With `by` pairs are found inside each of its groups, all groups at once, and
+    carry that column.
+
     A pair with m mismatches agrees on one of m+1 blocks, so k-mers meet in
     buckets of equal blocks. Buckets with more than `bucket_rows` members are
     not joined but split again by blocks of their remaining letters, and again
@@ -95,7 +100,8 @@ def hamming_pairs(kmers: DataFrame, max_mismatches: int, bucket_rows: int = BUCK
         "kmer",
         bit_plane("kmer", "CT").alias("lo_plane"),
         bit_plane("kmer", "GT").alias("hi_plane"),
-        F.lit("").alias("bucket"),
+        (F.col(by).cast("string") if by else F.lit("")).alias("bucket"),
+        (F.col(by) if by else F.lit(0)).alias("part"),
         F.col("kmer").alias("rest"),
         F.array().cast("array<string>").alias("before"),
     ).distinct()
@@ -117,4 +123,4 @@ def hamming_pairs(kmers: DataFrame, max_mismatches: int, bucket_rows: int = BUCK
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return out.withColumnRenamed("part", by) if by else out.drop("part")

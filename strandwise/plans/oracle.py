@@ -126,6 +126,21 @@ BINNED = """binned AS (SELECT s.seq_id, s.seq, min(x.bin) AS bin FROM seqs s JOI
   (SELECT bin, length(seq) AS ref_len FROM refs) x
   ON length(s.seq) < x.ref_len + x.ref_len * CAST(0.1 AS DOUBLE)
  AND length(s.seq) > x.ref_len - x.ref_len * CAST(0.1 AS DOUBLE) GROUP BY s.seq_id, s.seq)"""
+IDS = "ids AS (SELECT concat('D', doc_id) AS accession, source AS groups FROM documents)"
+BIN_RECORDS = (
+    SEQS,
+    REFS,
+    BINNED,
+    IDS,
+    "placed AS (SELECT b.bin, i.accession, i.groups FROM binned b JOIN ids i ON b.seq_id = i.accession)",
+    _quotas("placed", r.BIN_DRAWS, "bin"),
+    "records AS (SELECT bin, 'sample' AS draw_id, accession AS seq_id, count(*) AS weight FROM picks "
+    "JOIN members USING (bin, groups, rnk) GROUP BY ALL UNION ALL SELECT bin, 'reference', seq_id, 1 FROM refs)",
+)
+BIN_PREVALENCE = f"""w AS ({_windows('seqs', K, False)}),
+present AS (SELECT seq_id, kmer FROM w UNION SELECT seq_id, {_rc('kmer')} FROM w),
+bin_prevalence AS (SELECT bin, kmer, CAST(sum(weight) AS BIGINT) AS prevalence FROM records
+  JOIN present USING (seq_id) GROUP BY bin, kmer)"""
 HITS = _hits(list(r.WEIGHTS))
 FEATURES = "features AS (SELECT seq_id AS accession, motif, count(*) AS cnt FROM hits GROUP BY ALL)"
 SCORES = f"""scores AS (SELECT m.motif,
@@ -143,7 +158,6 @@ LABELLED = """labelled AS (SELECT p.*, CAST(m.label AS BIGINT) AS label, m.group
 SCORED = (SEQS, META, HITS, FEATURES, PREDICTIONS, LABELLED)
 CDS = f"""cds AS (SELECT concat('D', doc_id) AS seq_id, concat(source, '_', lang) AS accession,
   {_letters(derived.TO_BASES)} AS seq FROM documents)"""
-IDS = "ids AS (SELECT concat('D', doc_id) AS accession, source AS groups FROM documents)"
 
 
 def _base(c: str, shift: int) -> str:
@@ -293,8 +307,15 @@ ORACLE: dict[str, str] = {
         _prevalence(K),
     ),
     "hamming_pairs": _with(
-        "SELECT x.kmer AS a, y.kmer AS b, CAST(hamming(x.kmer, y.kmer) AS BIGINT) AS mismatches "
-        "FROM retained x JOIN retained y ON x.kmer < y.kmer AND hamming(x.kmer, y.kmer) <= 2",
+        # Two of ten letters differ at most, so one of three blocks is equal.
+        "SELECT DISTINCT a, b, mismatches FROM ("
+        + " UNION ALL ".join(
+            "SELECT x.kmer AS a, y.kmer AS b, CAST(hamming(x.kmer, y.kmer) AS BIGINT) AS mismatches FROM retained x "
+            f"JOIN retained y ON substr(x.kmer, {at}, {size}) = substr(y.kmer, {at}, {size}) AND x.kmer < y.kmer "
+            "WHERE hamming(x.kmer, y.kmer) <= 2"
+            for at, size in ((1, 3), (4, 3), (7, 4))
+        )
+        + ")",
         SEQS,
         # Read several times: without this each reading computes it again.
         _prevalence(r.PAIR_K).replace("prevalence AS (", "prevalence AS MATERIALIZED ("),
@@ -390,6 +411,14 @@ ORACLE: dict[str, str] = {
         "placed AS (SELECT b.bin, i.accession, i.groups FROM binned b JOIN ids i ON b.seq_id = i.accession)",
         _quotas("placed", 100, "bin"),
     ),
+    "resample_weights_bins": _with("SELECT bin, draw_id, seq_id, weight FROM records", *BIN_RECORDS),
+    "bin_prevalence": _with("SELECT bin, kmer, prevalence FROM bin_prevalence", *BIN_RECORDS, BIN_PREVALENCE),
+    "bin_high_freq": _with(
+        "SELECT bin, kmer, prevalence FROM bin_prevalence JOIN (SELECT bin, quantile_cont(prevalence, 0.95) AS cut "
+        "FROM bin_prevalence GROUP BY bin) USING (bin) WHERE prevalence > cut",
+        *BIN_RECORDS,
+        BIN_PREVALENCE.replace("bin_prevalence AS (", "bin_prevalence AS MATERIALIZED ("),
+    ),
     "group_shuffle_split": _with(
         f"SELECT CAST(split AS BIGINT) AS split, groups, row_number() OVER (PARTITION BY split ORDER BY "
         f"{_md5('split', 'groups')}, groups) <= ceil(CAST(0.1 AS DOUBLE) * "

@@ -36,6 +36,7 @@ from strandwise.streaming import scoring as streaming
 K = 8
 PAIR_K, PAIR_N, PAIR_Q = 10, 2.0, 0.99
 DRAWS = 1000
+BIN_DRAWS = 100
 SPLITS = 10
 # Binary fractions, so that sums are exact in every engine.
 WEIGHTS = {"ACRTNA": 0.875, "GGYCAN": -0.625, "TTSAAK": 0.375, "CATGWA": -1.25}
@@ -346,6 +347,32 @@ def discover_motifs(spark, d):
     return pipelines.discover_motifs(seqs, PAIR_K, PAIR_N, PAIR_Q, "motif", seed=7)
 
 
+# --- motifs of each bin, over drawn samples --------------------------------
+def _bin_records(spark, d) -> DataFrame:
+    meta = _grouped_ids(spark, d)
+    return pipelines.bin_records(
+        derived.sequences(spark, d), _references(spark, d), draws=BIN_DRAWS, meta=meta, seed=7
+    )
+
+
+def resample_weights_bins(spark, d):
+    """How often each sample of a bin is drawn; the references weigh 1."""
+    return _bin_records(spark, d).select("bin", "draw_id", "seq_id", "weight")
+
+
+def bin_prevalence(spark, d):
+    return kmers.weighted_prevalence(_bin_records(spark, d), "bin", K)
+
+
+def bin_high_freq(spark, d):
+    prevalence = cut_lineage(bin_prevalence(spark, d))
+    return kmers.high_freq_kmers(prevalence, 0.95, ["bin"])
+
+
+def discover_motifs_bins(spark, d):
+    return pipelines.discover_motifs_by_bin(_bin_records(spark, d), PAIR_K, PAIR_N, PAIR_Q, seed=7)
+
+
 # --- proteins and codons ---------------------------------------------------
 def cds_translate(spark, d):
     return proteins.cds_translate(derived.cds(spark, d), 6)
@@ -530,6 +557,10 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kmer_clusters": kmer_clusters,
     "consensus_motif": consensus_motif,
     "discover_motifs": discover_motifs,
+    "resample_weights_bins": resample_weights_bins,
+    "bin_prevalence": bin_prevalence,
+    "bin_high_freq": bin_high_freq,
+    "discover_motifs_bins": discover_motifs_bins,
     "motif_hits": motif_hits,
     "motif_hits_mixed": motif_hits_mixed,
     "motif_score_table": motif_score_table,

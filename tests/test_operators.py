@@ -288,3 +288,70 @@ def test_mapping_diff(spark):
     a = spark.createDataFrame([("A", "S"), ("C", "C"), ("D", None)], "r STRING, v STRING")
     b = spark.createDataFrame([("A", "T"), ("C", "C"), ("D", "E")], "r STRING, v STRING")
     assert rows(codons.mapping_diff(a, b, "r", "v"), "r", "right_value") == [("A", "T"), ("D", "E")]
+
+
+def test_bins_of_long_references_make_few_rows(spark):
+    """A genome of 250 million letters; a thousand references against a plain search."""
+    long = spark.createDataFrame([(0, 250_000_000)], "bin INT, ref_len INT")
+    assert binning.length_bins(long, 0.1).count() < 20
+    rng = random.Random(4)
+    refs = [(i, rng.choice([0, 1, 7, 30, 33, rng.randrange(1, 3000), rng.randrange(1, 60_000)])) for i in range(300)]
+    table = binning.length_bins(spark.createDataFrame(refs, "bin INT, ref_len INT"), 0.1).collect()
+    probes = sorted({*range(0, 200), *(rng.randrange(70_000) for _ in range(3000))})
+    lengths = spark.createDataFrame([(n,) for n in probes], "n LONG").select("n", binning._bucket(F.col("n")).alias("b"))
+    buckets = {r["n"]: r["b"] for r in lengths.collect()}
+    assert all(buckets[a] <= buckets[b] for a, b in zip(probes, probes[1:]))
+    for n in probes:
+        got = [r["bin"] for r in table if r["bucket"] == buckets[n] and r["first"] <= n < r["stop"]]
+        want = [i for i, size in refs if size - size * 0.1 < n < size + size * 0.1]
+        assert got == [min(want)] if want else got == [], n
+
+
+@pytest.fixture
+def bin_input(spark, seqs):
+    rng = random.Random(8)
+    texts = {f"a{i}": "".join(rng.choices("ACGT", k=rng.randrange(95, 105))) for i in range(12)}
+    texts |= {f"b{i}": "".join(rng.choices("ACGTN", (9, 9, 9, 9, 1), k=rng.randrange(290, 310))) for i in range(9)}
+    refs = [(0, "ra", texts["a0"]), (1, "rb", texts["b0"])]
+    meta = [(s, 1, "s", s[0] + str(int(s[1:]) % 2)) for s in texts]
+    return (
+        seqs(*texts.items()),
+        spark.createDataFrame(refs, "bin INT, seq_id STRING, seq STRING"),
+        spark.createDataFrame(meta, "accession STRING, label INT, species STRING, groups STRING"),
+    )
+
+
+def test_weights_count_like_copies(spark, bin_input):
+    data, refs, meta = bin_input
+    records = pipelines.bin_records(data, refs, 0.1, draws=40, meta=meta, seed=3).cache()
+    total = records.filter("draw_id = 'sample'").groupBy("bin").agg(F.sum("weight").alias("n"))
+    assert {r["n"] for r in total.collect()} == {40}
+    copies = records.withColumn("draw_id", F.explode(F.sequence(F.lit(1), F.col("weight")))).withColumn(
+        "draw_id", F.concat_ws("#", "draw_id", "seq_id")
+    )
+    matrix = kmers.drop_ambiguous(kmers.kmer_counts(copies, 5, key=["bin", "draw_id", "seq_id"]))
+    want = matrix.groupBy("bin", "kmer").agg(F.count("*").alias("prevalence"))
+    got = kmers.weighted_prevalence(records, "bin", 5)
+    assert rows(got, "bin", "kmer", "prevalence") == rows(want, "bin", "kmer", "prevalence")
+    kept = kmers.high_freq_kmers(got, 0.9, ["bin"])
+    for b in (0, 1):
+        own = kmers.high_freq_kmers(got.filter(F.col("bin") == b).drop("bin"), 0.9)
+        assert rows(kept.filter(F.col("bin") == b), "kmer", "prevalence") == rows(own, "kmer", "prevalence")
+
+
+def test_all_bins_at_once_equal_one_bin_each(spark, bin_input):
+    data, refs, _ = bin_input
+    records = pipelines.bin_records(data, refs, 0.1).cache()
+    together = pipelines.discover_motifs_by_bin(records, 6, 2.0, 0.9, "m", seed=3).collect()
+    for b in (0, 1):
+        alone = pipelines.discover_motifs_by_bin(records.filter(F.col("bin") == b), 6, 2.0, 0.9, "m", seed=3)
+        got = sorted((r["motif_id"], r["motif"]) for r in together if r["bin"] == b)
+        assert got and got == rows(alone, "motif_id", "motif")
+
+
+def test_samples_without_a_group_are_an_error(bin_input):
+    data, refs, meta = bin_input
+    with pytest.raises(ValueError):
+        pipelines.bin_records(data, refs, 0.1, draws=5, meta=meta.limit(3), seed=1)
+    with pytest.raises(ValueError):
+        pipelines.bin_records(data, refs, 0.1, draws=5)
