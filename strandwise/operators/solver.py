@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 #: Coefficients (models x features) of a block of models; the solver keeps some 25 such matrices.
 SOLVE_CELLS = 1_000_000
-#: Numbers of the intermediate matrices of a task (rows x models, or entries x models).
+#: Numbers of the intermediate matrices of a task (rows x models or features, or entries).
 STEP_CELLS = 2_000_000
 #: Up to so many features a task works on dense rows.
 DENSE = 1024
@@ -75,22 +75,37 @@ def design(cells: DataFrame, rows: DataFrame, vocab: DataFrame, held: DataFrame
     )
 
 
+def _lists(column: pa.Array, kind: str = "<i4") -> tuple[np.ndarray, np.ndarray]:
+    """Start of each row's numbers (and the end of the last), and all numbers.
+
+    The column holds arrays, or binaries of little-endian 32-bit numbers, which
+    Spark hands over without a look at each one.
+    """
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        column = column.cast(pa.large_binary())
+        _, offsets, data = column.buffers()
+        at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+        numbers = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+        return (at - at[0]) // 4, numbers.view(kind)
+    at = column.offsets.to_numpy()
+    return at - at[0], column.flatten().to_numpy()
+
+
 class _Rows:
     """Some rows of the design, ready for products with coefficient matrices."""
 
     def __init__(self, batch: pa.RecordBatch, width: int, splits: np.ndarray):
         self.label, self.weight = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        held, idx, val = (batch.column(i) for i in (2, 3, 4))
+        held_starts, own = _lists(batch.column(2))
         n = batch.num_rows
         # A column a split, and one for models that hold out nothing.
         self.out = np.zeros((n, len(splits) + 1), bool)
-        row = np.repeat(np.arange(n), np.diff(held.offsets.to_numpy()))
-        own = held.flatten().to_numpy()
+        row = np.repeat(np.arange(n), np.diff(held_starts))
         known = np.isin(own, splits)  # splits of other blocks don't count
         self.out[row[known], np.searchsorted(splits, own[known])] = True
-        self.starts = idx.offsets.to_numpy() - idx.offsets[0].as_py()
-        self.idx, self.val = idx.flatten().to_numpy(), val.flatten().to_numpy()
-        self.row = np.repeat(np.arange(n), np.diff(self.starts))
+        starts, self.idx = _lists(batch.column(3))
+        self.val = _lists(batch.column(4), "<f4")[1].astype(np.float64)
+        self.row = np.repeat(np.arange(n), np.diff(starts))
         self.dense = None
         if width <= DENSE:
             self.dense = np.zeros((n, width))
@@ -99,27 +114,24 @@ class _Rows:
     def margins(self, w: np.ndarray) -> np.ndarray:
         if self.dense is not None:
             return self.dense @ w.T
-        out = np.zeros((len(self.label), len(w)))
-        np.add.at(out, self.row, self.val[:, None] * w.T[self.idx])
-        return out
+        n = len(self.label)
+        return np.column_stack([np.bincount(self.row, self.val * own[self.idx], n) for own in w])
 
     def gradient(self, rest: np.ndarray, width: int) -> np.ndarray:
         """Models x features: the rows weighted by `rest` (rows x models)."""
         if self.dense is not None:
             return rest.T @ self.dense
-        out = np.zeros((width, rest.shape[1]))
-        np.add.at(out, self.idx, self.val[:, None] * rest[self.row])
-        return out.T
+        return np.stack([np.bincount(self.idx, self.val * own[self.row], width) for own in rest.T])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], width: int, models: int) -> Iterator[pa.RecordBatch]:
     """Batches cut so that no intermediate matrix is above STEP_CELLS (or one row's)."""
     for batch in batches:
-        begin, offsets = 0, batch.column(3).offsets.to_numpy()
+        begin, offsets = 0, _lists(batch.column(3))[0]
         while begin < batch.num_rows:
             end = begin + max(1, STEP_CELLS // max(models, width if width <= DENSE else 1))
             if width > DENSE:
-                end = min(end, int(np.searchsorted(offsets, offsets[begin] + STEP_CELLS // models, "right")) - 1)
+                end = min(end, int(np.searchsorted(offsets, offsets[begin] + STEP_CELLS, "right")) - 1)
             end = min(max(end, begin + 1), batch.num_rows)
             # Taken, not sliced: list offsets then start at the chunk.
             yield batch.take(pa.array(np.arange(begin, end)))
@@ -269,7 +281,8 @@ def solve(data: DataFrame, models: Models, max_iter: int = 500, tol: float = 1e-
 
         mean training loss + l1 * |w| + l2 / 2 * w^2
 
-    for every model. `data` is a `design`, read once a pass, so it should be persisted.
+    for every model. `data` is a `design`, read once a pass, so it should be
+    persisted; its `idx` and `val` may be binaries of little-endian int32 and float32.
     """
     m, width = models.l1.shape
     found = np.zeros((m, width))
