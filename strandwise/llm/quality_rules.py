@@ -25,11 +25,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import SPACES, byte_view, extended, pieces, texts_of
+from strandwise.llm.common import SPACES, byte_view, cut_lineage, drop_table, extended, pieces, texts_of
 from strandwise.llm.quality_trees import labelled_sample
+from strandwise.operators import solver
 
-#: Labelled rows that the regression is fitted on, at most; their features come to the driver.
+#: Labelled rows that the regression is fitted on, at most.
 MAX_LABELLED = 2_000
+#: Quasi-Newton steps of the fit, the weight of its squared penalty, and tasks that share the bounded sample.
+STEPS = 100
+PENALTY = 1e-5
+FIT_TASKS = 8
 #: Text bytes of a step; its n-grams take about 100 times that.
 STEP = 1 << 20
 BUCKETS = 1 << 15
@@ -128,46 +133,6 @@ def bags(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(key[a:b] % (BUCKETS * _KINDS), share[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def fit(
-    found: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, steps: int = 100, penalty: float = 1e-5
-) -> Rules:
-    """Accelerated gradient descent of the penalised logistic loss; every fourth row calibrates."""
-    size = BUCKETS * _KINDS
-    share = float(label.mean()) if len(label) else 1.0
-    if share in (0.0, 1.0):
-        return Rules(np.zeros(size), 0.0, 0.0, 35.0 if share else -35.0)
-    calibrate = np.arange(len(label)) % 4 == 3
-    if len(set(label[calibrate])) < 2 or len(set(label[~calibrate])) < 2:
-        calibrate = np.zeros(len(label), bool)
-    rows = [f for f, c in zip(found, calibrate, strict=True) if not c]
-    y = label[~calibrate]
-    # Blocks of 256 rows, so that a step's temporaries stay small on the driver.
-    blocks = []
-    for at in range(0, len(rows), 256):
-        part = rows[at : at + 256]
-        column = np.concatenate([r[0] for r in part]).astype(np.int32)
-        value = np.concatenate([r[1] for r in part]).astype(np.float32)
-        row = np.repeat(np.arange(len(part), dtype=np.int32), [len(r[0]) for r in part])
-        blocks.append((at, len(part), column, value, row))
-    weight, intercept = np.zeros(size), 0.0
-    ahead, ahead_b, rate = weight.copy(), 0.0, 4.0 / (1 + max(np.bincount(row, value**2, 1).max() for *_, value, row in blocks))
-    # Both classes weigh the same while the direction is learnt; calibration restores the shares.
-    balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    for step in range(steps):
-        margin = np.concatenate([np.bincount(row, value * ahead[column], n) for _, n, column, value, row in blocks])
-        slope = balance * (_logistic(margin + ahead_b) - y) / len(y)
-        new = ahead - rate * penalty * ahead
-        for at, _, column, value, row in blocks:
-            new -= rate * np.bincount(column, value * slope[at:][row], size)
-        new_b = ahead_b - rate * slope.sum()
-        push = step / (step + 3)
-        ahead, ahead_b = new + push * (new - weight), new_b + push * (new_b - intercept)
-        weight, intercept = new, new_b
-    margin = np.array([intercept + (weight[c] * v).sum() for c, v in found])
-    chosen = calibrate if calibrate.any() else np.ones(len(label), bool)
-    return Rules(weight, intercept, *_platt(margin[chosen], label[chosen]))
-
-
 def _platt(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a logistic curve by Newton steps, with targets drawn in by the counts."""
     up, down = label.sum(), len(label) - label.sum()
@@ -187,31 +152,67 @@ def _platt(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 def fit_rules(
     docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text", most: int = MAX_LABELLED
 ) -> Rules:
-    """A regression from documents with a usable label; the sample's ids and labels are broadcast."""
+    """A regression from documents with a usable label; the sample's ids and labels are broadcast.
+
+    The bags of the sample are a written table. Each step of the fit is a pass
+    over it in tasks, which send back one slope a bucket; the driver sees no bag.
+    """
+    spark = docs.sparkSession
     sample = labelled_sample(labels, "quality", usable, most)
+    size = BUCKETS * _KINDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, text, STEP):
                 own = bags(part.column(text))
-                yield pa.record_batch(
-                    [
-                        part.column("doc_id").cast(pa.string()),
-                        part.column("label"),
-                        pa.array([c.astype("<i4").tobytes() for c, _ in own]),
-                        pa.array([v.astype("<f4").tobytes() for _, v in own]),
-                    ],
-                    ["doc_id", "label", "bucket", "share"],
-                )
+                # The last entry is the intercept's.
+                idx = pa.array([np.r_[c, size].astype("<i4").tobytes() for c, _ in own], pa.binary())
+                val = pa.array([np.r_[v, 1.0].astype("<f4").tobytes() for _, v in own], pa.binary())
+                yield pa.record_batch([part.column("label"), part.column("fold"), idx, val], ["label", "fold", "idx", "val"])
 
     rows = docs.select("doc_id", F.col(text).cast("string").alias(text)).join(F.broadcast(sample), "doc_id")
-    found = rows.mapInArrow(run, "doc_id string, label int, bucket binary, share binary").toPandas()
-    found = found.sort_values(["doc_id", "label"], kind="stable")
-    own = [
-        (np.frombuffer(c, "<i4"), np.frombuffer(v, "<f4"))
-        for c, v in zip(found["bucket"], found["share"], strict=True)
-    ]
-    return fit(own, found["label"].to_numpy(float))
+    fold = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(4)).cast("int").alias("fold")
+    bagged = cut_lineage(
+        rows.select(F.col("label").cast("int").alias("label"), fold, text)
+        .mapInArrow(run, "label int, fold int, idx binary, val binary")
+    )
+    # A quarter of the rows calibrates, if both parts hold both labels.
+    counts = {(r[0], r[1]): r[2] for r in bagged.groupBy("label", F.col("fold") == 3).count().collect()}
+    share = {label: sum(n for (x, _), n in counts.items() if x == label) for label in (0, 1)}
+    if not share[0] or not share[1]:
+        return Rules(np.zeros(size), 0.0, 0.0, -35.0 if share[0] else 35.0)
+    apart = all(counts.get((label, part)) for label in (0, 1) for part in (False, True))
+    learnt = {label: counts[label, False] if apart else share[label] for label in (0, 1)}
+    calibrates = (F.col("fold") == 3) if apart else F.lit(False)
+    # Both classes weigh the same while the direction is learnt; calibration restores the shares.
+    weight = F.when(F.col("label") > 0, 0.5 / learnt[1]).otherwise(0.5 / learnt[0])
+    none = F.array().cast("array<int>")
+    data = bagged.select(
+        F.col("label").cast("double").alias("label"),
+        weight.alias("weight"),
+        F.when(calibrates, F.array(F.lit(0))).otherwise(none).alias("held"),
+        "idx",
+        "val",
+    ).repartition(FIT_TASKS).persist()
+    flat = np.zeros((1, size + 1))
+    penalty = np.full((1, size + 1), PENALTY)
+    penalty[0, size] = 0.0
+    found = solver.solve(data, solver.Models(np.array([0 if apart else -1]), flat, penalty), STEPS, 1e-6)[0]
+    sent = spark.sparkContext.broadcast(found)
+
+    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = []
+            for idx, val in zip(batch.column("idx"), batch.column("val")):
+                numbers = np.frombuffer(idx.as_py(), "<i4"), np.frombuffer(val.as_py(), "<f4")
+                sums.append(float(sent.value[numbers[0]] @ numbers[1]))
+            yield pa.record_batch([batch.column("label"), pa.array(sums, pa.float64())], ["label", "margin"])
+
+    chosen = data.where(F.size("held") == 1) if apart else data
+    pairs = chosen.mapInArrow(margins, "label double, margin double").toPandas()
+    data.unpersist()
+    drop_table(bagged)
+    return Rules(found[:size], float(found[size]), *_platt(pairs["margin"].to_numpy(), pairs["label"].to_numpy()))
 
 
 def base_counts(text: bytes) -> tuple[int, int, int, int, int]:

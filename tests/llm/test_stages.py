@@ -2,7 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from strandwise.llm import quality_rules
 
 
 def test_rules_learn_from_rows_that_an_earlier_stage_dropped(spark, tmp_path):
@@ -20,3 +25,34 @@ def test_rules_learn_from_rows_that_an_earlier_stage_dropped(spark, tmp_path):
     left = whole.where("doc_id % 3 > 0 or doc_id >= 900")
     kept = {r.doc_id for r in corpus_pipeline.quality_rules_stage(spark, left, str(tmp_path)).collect()}
     assert kept == {i for i in range(240) if i % 3 > 0} | {901}
+
+
+def test_the_fit_reaches_the_least_loss_of_its_rows(spark):
+    """The tasks' passes against plain gradient descent over the same bags, all on one machine."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(["aa", "ab", "ba", "bb"][i % 2 :: 2] + ["cc"], k=12)), i % 2) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    rules = quality_rules.fit_rules(docs, labels, F.lit(True))
+    folds = docs.select("doc_id", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(4)).alias("f")).collect()
+    learnt = {r["doc_id"] for r in folds if r["f"] != 3}
+    size = quality_rules.BUCKETS * 5
+    used = [(r[1], r[2]) for r in rows if r[0] in learnt]
+    x = np.zeros((len(used), size + 1))
+    for i, (columns, shares) in enumerate(quality_rules.bags(pa.array([t for t, _ in used]))):
+        x[i, columns], x[i, size] = shares, 1
+    y = np.array([label for _, label in used], float)
+    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+    penalty = np.r_[np.full(size, quality_rules.PENALTY), 0]
+
+    def loss(w):
+        z = x @ w
+        return (weight * (np.logaddexp(0, z) - y * z)).sum() + (penalty * w * w).sum() / 2
+
+    own = np.r_[rules.weights, rules.intercept]
+    w = np.zeros(size + 1)
+    for _ in range(3000):
+        w -= 2.0 * (x.T @ (weight * (1 / (1 + np.exp(-x @ w)) - y)) + penalty * w)
+    assert loss(own) <= loss(w) + 1e-4 and loss(own) < 0.05
+    kept = {r.doc_id: r.probability for r in quality_rules.judge(docs, rules).collect()}
+    assert all((kept[i] > 0.5) == bool(label) for i, _, label in rows)
