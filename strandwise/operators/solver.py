@@ -163,27 +163,40 @@ def _squares(rows: _Rows, w: np.ndarray, column: np.ndarray) -> np.ndarray:
     return np.r_[out, rows.weight.sum()][None, :]
 
 
-def _sums(data: DataFrame, w: np.ndarray, split: np.ndarray, per_rows, cells: int) -> np.ndarray:
-    """The sum of `per_rows` over all rows: one pass over the data."""
+def _sums(
+    data: DataFrame, w: np.ndarray, split: np.ndarray, per_rows, cells: int, narrow: bool = False
+) -> np.ndarray:
+    """The sum of `per_rows` over all rows: one pass over the data.
+
+    `narrow` sends all but the last two columns in single precision.
+    """
     splits = np.unique(split[split >= 0])
     column = np.where(split >= 0, np.searchsorted(splits, split), len(splits))
     sent = data.sparkSession.sparkContext.broadcast((w, splits, column))
-    shape = (len(w), cells)
+    shape, wide = (len(w), cells), 2 if narrow else cells
+
+    def packed(total: np.ndarray) -> bytes:
+        return total[:, : cells - wide].astype("<f4").tobytes() + total[:, cells - wide :].astype("<f8").tobytes()
+
+    def unpacked(part: bytes) -> np.ndarray:
+        cut = 4 * shape[0] * (cells - wide)
+        left = np.frombuffer(part, "<f4", offset=0, count=cut // 4).reshape(shape[0], -1) if cut else np.zeros((shape[0], 0))
+        return np.column_stack([left, np.frombuffer(part, "<f8", offset=cut).reshape(shape[0], -1)])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, splits, column = sent.value
         total = np.zeros(shape)
         for part in _chunks(batches, w.shape[1], len(w)):
             total += per_rows(_Rows(part, w.shape[1], splits), w, column)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+        yield pa.RecordBatch.from_arrays([pa.array([packed(total)], pa.binary())], names=["part"])
 
     parts = data.mapInArrow(partial, "part BINARY")
     if data.rdd.getNumPartitions() * 8 * shape[0] * shape[1] <= GATHER_BYTES:
-        total = sum((np.frombuffer(r["part"]) for r in parts.collect()), np.zeros(shape[0] * shape[1]))
+        total = sum((unpacked(r["part"]) for r in parts.collect()), np.zeros(shape))
     else:
-        total = parts.rdd.map(lambda r: np.frombuffer(r["part"])).treeReduce(np.add)
-    sent.unpersist()
-    return total.reshape(shape)
+        total = parts.rdd.map(lambda r: unpacked(r["part"])).treeReduce(np.add)
+    sent.destroy()
+    return total
 
 
 class _Steps:
@@ -212,7 +225,9 @@ class _Steps:
         """New directions from the curvature so far."""
         # The curvature among the coordinates that may move; the others stay at 0.
         moving = (self.w[at] != 0) | (self.pseudo[at] != 0)
-        s, y = self.s[:, at] * moving, self.y[:, at] * moving
+        s, y = (self.s, self.y) if len(at) == len(self.open) else (self.s[:, at], self.y[:, at])
+        if not moving.all():
+            s, y = s * moving, y * moving
         curve, turn = np.einsum("kmd,kmd->km", s, y), np.einsum("kmd,d,kmd->km", y, self.metric, y)
         known = curve > 1e-12 * np.sqrt(turn * np.einsum("kmd,d,kmd->km", s, 1 / self.metric, s))
         rho = np.where(known, 1 / np.where(known, curve, 1), 0)
@@ -276,13 +291,16 @@ class _Steps:
         self.open[at] = ~(flat | (self.still[at] >= 3) | (self.steps[at] >= max_iter) | (self.t[at] < 1e-12))
 
 
-def solve(data: DataFrame, models: Models, max_iter: int = 500, tol: float = 1e-8) -> np.ndarray:
+def solve(
+    data: DataFrame, models: Models, max_iter: int = 500, tol: float = 1e-8, narrow: bool = False
+) -> np.ndarray:
     """Coefficients, models x features, of
 
         mean training loss + l1 * |w| + l2 / 2 * w^2
 
     for every model. `data` is a `design`, read once a pass, so it should be
-    persisted; its `idx` and `val` may be binaries of little-endian int32 and float32.
+    persisted; its `idx` and `val` may be binaries of little-endian int32 and float32. With `narrow` slopes travel
+    in single precision, which suffices for tolerances of 1e-6 and more.
     """
     m, width = models.l1.shape
     found = np.zeros((m, width))
@@ -299,7 +317,7 @@ def solve(data: DataFrame, models: Models, max_iter: int = 500, tol: float = 1e-
             # Few models left are cheap: several lengths of each step go into one pass.
             count = 1 if len(at) * TRIALS > len(steps.open) else TRIALS
             trials = steps.trials(at, count)
-            sums = _sums(data, trials.reshape(-1, width), np.tile(steps.models.split[at], count), _losses, width + 2)
+            sums = _sums(data, trials.reshape(-1, width), np.tile(steps.models.split[at], count), _losses, width + 2, narrow)
             steps.take(at, trials, sums.reshape(count, len(at), -1), tol, max_iter)
         found[block] = steps.w
     return found
