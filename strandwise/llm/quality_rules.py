@@ -34,7 +34,7 @@ MAX_LABELLED = 2_000
 #: Quasi-Newton steps of the fit, the weight of its squared penalty, and tasks that share the bounded sample.
 STEPS = 100
 PENALTY = 1e-5
-FIT_TASKS = 8
+FIT_TASKS = 4
 #: Text bytes of a step; its n-grams take about 100 times that.
 STEP = 1 << 20
 BUCKETS = 1 << 15
@@ -197,7 +197,7 @@ def fit_rules(
     flat = np.zeros((1, size + 1))
     penalty = np.full((1, size + 1), PENALTY)
     penalty[0, size] = 0.0
-    found = solver.solve(data, solver.Models(np.array([0 if apart else -1]), flat, penalty), STEPS, 1e-6)[0]
+    found = solver.solve(data, solver.Models(np.array([0 if apart else -1]), flat, penalty), STEPS, 1e-6, narrow=True)[0]
     sent = spark.sparkContext.broadcast(found)
 
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
