@@ -73,8 +73,10 @@ def replicon_bin(seqs: DataFrame, refs: DataFrame, p: float = 0.1) -> DataFrame:
     """
     # Written, so that counting them does not work out the references twice.
     bins = broadcast_if_small(cut_lineage(length_bins(refs, p)))
-    length = F.length("seq")
-    # Once a record: the lookup's condition would otherwise measure the sequence again.
-    measured = seqs.withColumn("_len", length.cast("bigint")).withColumn("bucket", _bucket(F.col("_len")))
+    # Never null: a null check of the join's keys would be pushed down to the scan
+    # and derive the sequence there once for each use of its length.
+    length = F.coalesce(F.length("seq"), F.lit(0)).cast("bigint")
+    bucket = F.coalesce(_bucket(F.col("_len")), F.lit(-1))
+    measured = seqs.withColumn("_len", length).withColumn("bucket", bucket)
     found = measured.join(bins, "bucket").filter((F.col("first") <= F.col("_len")) & (F.col("_len") < F.col("stop")))
     return found.drop("_len", "bucket", "first", "stop")
