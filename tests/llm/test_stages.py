@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandwise.llm import quality_rules
+from strandwise.llm import quality_rules, simhash
 
 
 def test_rules_learn_from_rows_that_an_earlier_stage_dropped(spark, tmp_path):
@@ -27,6 +27,43 @@ def test_rules_learn_from_rows_that_an_earlier_stage_dropped(spark, tmp_path):
     assert kept == {i for i in range(240) if i % 3 > 0} | {901}
 
 
+def test_near_duplicates_by_the_distance_of_fingerprints(spark, tmp_path):
+    """One row a component of fingerprints at three bits or fewer, nulls and repeated rows included."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choices(words, k=400))) for i in range(30)]
+    rows += [(100 + i, t + " end") for i, t in rows[:12]] + [(200, rows[3][1]), (3, rows[3][1]), (300, None), (301, ""), (None, "x")]
+    table = [(k, t, 7.5, "a") for k, t in rows]
+    made = spark.createDataFrame(table, "doc_id long, text string, score double, removed string")
+    made.write.parquet(f"{tmp_path}/in")
+    docs = spark.read.parquet(f"{tmp_path}/in")
+    left = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    prints = [simhash.fingerprint((t or "").encode()) for _, t in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i, a in enumerate(prints):
+            group[i] = min(group[j] for j, b in enumerate(prints) if (a ^ b).bit_count() <= 3)
+    want = {min((rows[i][0] is None, rows[i][0] or 0, rows[i][0]) for i in range(len(rows)) if group[i] == g)[2] for g in set(group)}
+    got = [r.doc_id for r in left.collect()]
+    assert len(got) == len(set(got)) and set(got) - {None} == want - {None} and len(want) < 40
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_stages_keep_the_columns_of_the_caller(spark, tmp_path):
+    rows = [(i, ("some plain words of prose %d " % i) * 30, -1.0, "mine", i) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, removed string, predicted int")
+
+    def same(d):
+        return d.withColumns({"score": F.lit(0.5), "removed": F.lit("its own"), "predicted": F.lit(1)}).where("predicted = 1")
+
+    out = corpus_pipeline.beside(docs, same)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(rows)
+    cut = corpus_pipeline.substring_dedup(spark, docs, str(tmp_path))
+    assert cut.columns == docs.columns
+    assert {(r.score, r.removed, r.predicted - r.doc_id) for r in cut.collect()} == {(-1.0, "mine", 0)}
+
+
 def test_the_fit_reaches_the_least_loss_of_its_rows(spark):
     """The tasks' passes against plain gradient descent over the same bags, all on one machine."""
     rng = random.Random(3)
