@@ -159,38 +159,6 @@ def test_language_model(spark, tmp_path):
     assert language_model.fit_and_score(scan(spark, table.limit(0), tmp_path / "none"), train).count() == 0
 
 
-def test_probabilities_add_up():
-    rng = np.random.default_rng(0)
-    model = language_model.Model(np.arange(1, 5, dtype=np.uint64), 10, 4, 0.0)
-    seats = np.array([[3, 2, 0, 0, 1], [0, 0, 4, 0, 0], [1, 1, 1, 1, 1], [0, 0, 0, 0, 0], [2, 0, 0, 0, 0]])
-    u, w = np.nonzero(seats)
-    keys = (u.astype(np.uint64) << np.uint64(language_model.BITS)) | w.astype(np.uint64)
-    size, dish = seats[u, w].astype(np.int64), np.arange(len(u))
-    parent = language_model._Parent(5, 1)
-    means, context = np.zeros(len(u)), seats.sum(1).astype(float)
-    for _ in range(4):
-        tables = np.bincount(u, np.bincount(dish, minlength=len(u)), 5)
-        words, of_words = np.unique(w), np.bincount(w, np.bincount(dish, minlength=len(u)), 5)
-        chance = parent.update(words, of_words[words])
-        assert abs(chance.sum() - 1) < 1e-9
-        weight = (language_model.STRENGTH + language_model.DISCOUNT * tables[u]) * chance[w]
-        dish, size = language_model.reseat(dish, size, weight, language_model.DISCOUNT, rng)
-        assert np.array_equal(np.bincount(dish, size), seats[u, w]) and size.min() > 0
-    tables = np.bincount(u, np.bincount(dish), 5)
-    words, of_words = np.unique(w), np.bincount(w, np.bincount(dish), 5)
-    model.context = context
-    model.parent = [parent.update(words, of_words[words])]
-    model.backoff = [(language_model.STRENGTH + language_model.DISCOUNT * tables) / (language_model.STRENGTH + context)]
-    means = np.bincount(dish).astype(float)
-    for c in range(5):
-        every = (np.uint64(c) << np.uint64(language_model.BITS)) | np.arange(5, dtype=np.uint64)
-        own = np.zeros(5)
-        for i, k in enumerate(every):
-            hit = np.flatnonzero(keys == k)
-            own[i] = size[dish == hit[0]].sum() - language_model.DISCOUNT * means[hit[0]] if len(hit) else 0
-        assert abs((10 ** model.log10(every, own)).sum() - 1) < 1e-9
-
-
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
