@@ -2,20 +2,22 @@
 
 Each task keeps an in-memory DuckDB connection with two tables: the vocabulary
 and the merges (left id, right id, merged id), derived from the ranks. A step of
-the recursive query holds one row for each token position of a word, joins
-neighbours with the merge table, finds each word's smallest merged rank and its
-leftmost place, and contracts that pair; words without a pair drop out, so the
-query ends at the fixpoint. Ids are put together, and decoded to bytes, by
-ordered aggregation.
+the recursive query holds one row for each token position of a word, with the
+position and token to its right, joins both tokens with the merge table, finds
+each word's smallest merged rank and its leftmost place, and contracts that
+pair; words without a pair drop out, so the query ends at the fixpoint. Ids are
+put together, and decoded to bytes, by ordered aggregation.
 
 A text is cut into segments before white space, a segment into the matches of
 the pattern; both are encoded once and kept in bounded tables of the worker.
 A match that is a token itself is that token, as in the usual encoders. A match
-of more than `LONG_WORD` bytes would need as many steps as it has bytes, each
-over all of them; those few go through a heap of pairs instead.
+of n bytes may need n steps of up to n rows, all of which the query holds, so a
+query takes matches of at most `ROWS_A_QUERY` such rows together. A match of more
+than `LONG_WORD` bytes goes through a heap of pairs instead.
 
-Defined results: a null or empty text has no ids and decodes to no bytes.
-Repeated rows are encoded each.
+Defined results: a null or empty text has no ids and decodes to no bytes. A very
+long text is encoded whole, alone in its step. Repeated rows are encoded each.
+Columns other than doc_id and text play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,18 +28,19 @@ from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.llm.common import extended, pieces
-from strandwise.llm.tokens import WHITE, segments
+from strandwise.llm.tokens import PLAIN, WHITE, segments
 
-LONG_WORD = 64
-#: Segments and words that a worker keeps, and words of one recursive query.
+LONG_WORD = 1024
+#: Segments and words that a worker keeps, and rows of all steps of one recursive query at most.
 KEPT_SEGMENTS = 250_000
 KEPT_WORDS = 300_000
-WORDS_A_QUERY = 50_000
+ROWS_A_QUERY = 2_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -56,25 +59,26 @@ def merge_table(ranks: dict[bytes, int]) -> list[tuple[int, int, int]]:
 
 
 _ENCODE = """
-WITH RECURSIVE step(word, pos, tok, round) AS (
-    SELECT word, pos, tok, 0 FROM first_tokens
+WITH RECURSIVE step(word, pos, tok, next_pos, next_tok, merged, round) AS (
+    SELECT f.word, f.pos, f.tok, f.next_pos, f.next_tok, m.merged, 0
+    FROM first_tokens f LEFT JOIN merges m ON m.left_tok = f.tok AND m.right_tok = f.next_tok
   UNION ALL (
-    WITH neighbours AS (
-        SELECT word, pos, tok, round,
-               lead(tok) OVER (PARTITION BY word ORDER BY pos) AS next_tok,
-               lead(pos) OVER (PARTITION BY word ORDER BY pos) AS next_pos
-        FROM step),
-    joined AS (
-        SELECT n.*, m.merged FROM neighbours n
-        LEFT JOIN merges m ON m.left_tok = n.tok AND m.right_tok = n.next_tok),
-    chosen AS (
-        SELECT word, min(merged * 65536 + pos) AS best FROM joined WHERE merged IS NOT NULL GROUP BY word),
+    WITH chosen AS (
+        SELECT word, min(merged * 65536 + pos) AS best, arg_min(next_pos, merged * 65536 + pos) AS gone
+        FROM step WHERE merged IS NOT NULL GROUP BY word),
     placed AS (
-        SELECT c.word, c.best // 65536 AS merged, c.best % 65536 AS at, j.next_pos AS gone
-        FROM chosen c JOIN joined j ON j.word = c.word AND j.pos = c.best % 65536)
-    SELECT j.word, j.pos, CASE WHEN j.pos = p.at THEN p.merged ELSE j.tok END, j.round + 1
-    FROM joined j JOIN placed p ON j.word = p.word
-    WHERE j.pos <> p.gone)
+        SELECT c.word, c.best // 65536 AS made, c.best % 65536 AS place, c.gone,
+               g.next_pos AS after_pos, g.next_tok AS after_tok
+        FROM chosen c JOIN step g ON g.word = c.word AND g.pos = c.gone),
+    moved AS (
+        SELECT s.word, s.pos, s.round,
+               CASE WHEN s.pos = p.place THEN p.made ELSE s.tok END AS tok,
+               CASE WHEN s.pos = p.place THEN p.after_pos ELSE s.next_pos END AS next_pos,
+               CASE WHEN s.pos = p.place THEN p.after_tok WHEN s.next_pos = p.place THEN p.made
+                    ELSE s.next_tok END AS next_tok
+        FROM step s JOIN placed p ON s.word = p.word WHERE s.pos <> p.gone)
+    SELECT v.word, v.pos, v.tok, v.next_pos, v.next_tok, m.merged, v.round + 1
+    FROM moved v LEFT JOIN merges m ON m.left_tok = v.tok AND m.right_tok = v.next_tok)
 ),
 last AS (SELECT word, max(round) AS round FROM step GROUP BY word)
 SELECT s.word, string_agg(s.tok::VARCHAR, ',' ORDER BY s.pos) AS ids
@@ -120,7 +124,7 @@ class Codec:
         self.ranks = load_ranks(path)
         white = pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
         self.words_of = regex.compile(white).findall
-        self.base = [self.ranks[bytes([b])] for b in range(256)]
+        self.base = np.array([self.ranks[bytes([b])] for b in range(256)])
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
         names = ["left_tok", "right_tok", "merged"]
         merges = pa.table([pa.array(c, pa.int64()) for c in zip(*merge_table(self.ranks), strict=True)], names)
@@ -151,14 +155,24 @@ class Codec:
                 out[w] = ",".join(map(str, heap_merge(raw, self.ranks)))
             else:
                 queried.append((w, raw))
-        for at in range(0, len(queried), WORDS_A_QUERY):
-            part = queried[at : at + WORDS_A_QUERY]
-            number = [i for i, (_, raw) in enumerate(part) for _ in raw]
-            place = [j for _, raw in part for j in range(len(raw))]
-            token = [self.base[b] for _, raw in part for b in raw]
-            table = pa.table({c: pa.array(v, pa.int64()) for c, v in (("word", number), ("pos", place), ("tok", token))})
+        # Short words first, so that a query's words need about as many steps.
+        queried.sort(key=lambda q: len(q[1]))
+        size = np.array([len(raw) for _, raw in queried], np.int64)
+        held = np.cumsum(size * (size + 1) // 2)
+        at = 0
+        while at < len(queried):
+            stop = max(int(np.searchsorted(held, (held[at - 1] if at else 0) + ROWS_A_QUERY, "right")), at + 1)
+            part, n = queried[at:stop], size[at:stop]
+            token = self.base[np.frombuffer(b"".join(raw for _, raw in part), np.uint8)]
+            number, end = np.repeat(np.arange(len(part)), n), np.cumsum(n)
+            place = np.arange(len(token)) - np.repeat(end - n, n)
+            after, after_token = place + 1, np.append(token[1:], -1)
+            after[end - 1] = after_token[end - 1] = -1
+            names = ["word", "pos", "tok", "next_pos", "next_tok"]
+            table = pa.table([pa.array(c) for c in (number, place, token, after, after_token)], names)
             for i, ids in self._query(_ENCODE, "first_tokens", table):
                 out[part[i][0]] = ids
+            at = stop
         return out
 
     def decode_ids(self, joined: list[str]) -> list[bytes]:
@@ -175,9 +189,15 @@ class Codec:
             out[i] = bytes(raw)
         return out
 
+    def _cut(self, segment: str) -> list[str]:
+        plain = PLAIN.fullmatch(segment)
+        if plain is None:
+            return self.words_of(segment)
+        return [plain[1], plain[2]] if plain[2] else [plain[1]]
+
     def learn(self, new: set[str]) -> dict[str, tuple[str, bytes]]:
         """Ids and decoded bytes of segments that aren't kept yet."""
-        cut = {s: self.words_of(s) for s in new}
+        cut = {s: self._cut(s) for s in new}
         unknown = list({w for words in cut.values() for w in words} - self.words.keys())
         ids = self.encode_words(unknown)
         found = dict(zip(unknown, zip((ids[w] for w in unknown), self.decode_ids([ids[w] for w in unknown]), strict=True), strict=True))
@@ -195,12 +215,13 @@ class Codec:
     def texts(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """Comma-joined ids and decoded bytes of each text."""
         cut = [segments(t) if t else [] for t in texts]
-        new = set().union(*cut) - self.kept.keys()
+        found = [list(map(self.kept.get, own)) for own in cut]
+        new = {s for own, f in zip(cut, found, strict=True) if None in f for s, x in zip(own, f, strict=True) if x is None}
         out = self.learn(new) if new else {}
-        kept = self.kept
-        for own in cut:
-            found = [kept[s] if s in kept else out[s] for s in own]
-            yield ",".join([f[0] for f in found]), b"".join([f[1] for f in found])
+        for own, f in zip(cut, found, strict=True):
+            if None in f:
+                f = [out[s] if x is None else x for s, x in zip(own, f, strict=True)]
+            yield ",".join([x[0] for x in f]), b"".join([x[1] for x in f])
 
 
 @lru_cache(maxsize=1)

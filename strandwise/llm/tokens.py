@@ -23,7 +23,7 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 _SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _ODD_SPACE = re.compile("[\\t\\x0b-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 #: A word of Latin letters with its plain punctuation: two pre-tokens at most.
-_PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|%$&*#]*)")
+PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|%$&*#]*)")
 _CUT = "\x00"
 
 
@@ -74,7 +74,7 @@ class Encoder:
         return found
 
     def segment(self, segment: str) -> bytes:
-        plain = _PLAIN.fullmatch(segment)
+        plain = PLAIN.fullmatch(segment)
         if plain is None:
             out = self._whole(segment)
         elif plain[2]:

@@ -99,12 +99,22 @@ def test_long_words_by_heap():
     own = bpe.codec(queries.BPE_MULTI, public_tokenizers.PATTERN)
     rng = random.Random(1)
     made = ["".join(rng.choices("abcdeth", k=rng.randint(3, 40))) for _ in range(300)]
+    made += ["".join(rng.choices("abcdeth", k=k)) for k in (65, 200, 200, 500, bpe.LONG_WORD)] + ["語" * 40, "天地玄黄宇宙洪荒" * 9, "a" * 300]
     by_query = own.encode_words(made)
     for w in made:
         if w.encode() not in own.ranks:
             assert by_query[w] == ",".join(map(str, bpe.heap_merge(w.encode(), own.ranks)))
 
 
+def test_few_rows_a_query(monkeypatch):
+    """Words dealt out over many queries have the ids of one query; a word beyond the bound goes alone."""
+    own = bpe.codec(queries.BPE_MULTI, public_tokenizers.PATTERN)
+    made = [f"xq{i}zz" * (1 + i % 5) for i in range(60)]
+    want = own.encode_words(made)
+    monkeypatch.setattr(bpe, "ROWS_A_QUERY", 90)
+    assert own.encode_words(made) == want and len(want) == 60
+
+
 @pytest.mark.parametrize("block", [65536, 40])
 def test_top_k(spark, tmp_path, monkeypatch, block):
     monkeypatch.setattr(pivots, "BLOCK", block)
