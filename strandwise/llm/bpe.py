@@ -5,8 +5,8 @@ and the merges (left id, right id, merged id), derived from the ranks. A step of
 the recursive query holds one row for each token position of a word, with the
 position and token to its right, joins both tokens with the merge table, finds
 each word's smallest merged rank and its leftmost place, and contracts that
-pair; words without a pair drop out, so the query ends at the fixpoint. Ids are
-put together, and decoded to bytes, by ordered aggregation.
+pair; words without a pair are marked and drop out, so the query ends at the
+fixpoint. Ids are put together, and decoded to bytes, by ordered aggregation.
 
 A text is cut into segments before white space, a segment into the matches of
 the pattern; both are encoded once and kept in bounded tables of the worker.
@@ -59,30 +59,28 @@ def merge_table(ranks: dict[bytes, int]) -> list[tuple[int, int, int]]:
 
 
 _ENCODE = """
-WITH RECURSIVE step(word, pos, tok, next_pos, next_tok, merged, round) AS (
-    SELECT f.word, f.pos, f.tok, f.next_pos, f.next_tok, m.merged, 0
+WITH RECURSIVE step(word, pos, tok, next_pos, next_tok, merged, done) AS (
+    SELECT f.word, f.pos, f.tok, f.next_pos, f.next_tok, m.merged, false
     FROM first_tokens f LEFT JOIN merges m ON m.left_tok = f.tok AND m.right_tok = f.next_tok
   UNION ALL (
     WITH chosen AS (
-        SELECT word, min(merged * 65536 + pos) AS best, arg_min(next_pos, merged * 65536 + pos) AS gone
-        FROM step WHERE merged IS NOT NULL GROUP BY word),
+        SELECT word, min(merged * 65536::BIGINT + pos) AS best, arg_min(next_pos, merged * 65536::BIGINT + pos) AS gone
+        FROM step WHERE NOT done GROUP BY word),
     placed AS (
-        SELECT c.word, c.best // 65536 AS made, c.best % 65536 AS place, c.gone,
+        SELECT c.word, (c.best // 65536)::INTEGER AS made, (c.best % 65536)::INTEGER AS place, c.gone,
                g.next_pos AS after_pos, g.next_tok AS after_tok
-        FROM chosen c JOIN step g ON g.word = c.word AND g.pos = c.gone),
+        FROM chosen c LEFT JOIN step g ON g.word = c.word AND g.pos = c.gone),
     moved AS (
-        SELECT s.word, s.pos, s.round,
+        SELECT s.word, s.pos, p.made IS NULL AS done,
                CASE WHEN s.pos = p.place THEN p.made ELSE s.tok END AS tok,
                CASE WHEN s.pos = p.place THEN p.after_pos ELSE s.next_pos END AS next_pos,
                CASE WHEN s.pos = p.place THEN p.after_tok WHEN s.next_pos = p.place THEN p.made
                     ELSE s.next_tok END AS next_tok
-        FROM step s JOIN placed p ON s.word = p.word WHERE s.pos <> p.gone)
-    SELECT v.word, v.pos, v.tok, v.next_pos, v.next_tok, m.merged, v.round + 1
+        FROM step s JOIN placed p ON s.word = p.word WHERE s.pos IS DISTINCT FROM p.gone)
+    SELECT v.word, v.pos, v.tok, v.next_pos, v.next_tok, m.merged, v.done
     FROM moved v LEFT JOIN merges m ON m.left_tok = v.tok AND m.right_tok = v.next_tok)
-),
-last AS (SELECT word, max(round) AS round FROM step GROUP BY word)
-SELECT s.word, string_agg(s.tok::VARCHAR, ',' ORDER BY s.pos) AS ids
-FROM step s JOIN last USING (word, round) GROUP BY s.word
+)
+SELECT word, array_to_string(list(tok ORDER BY pos), ',') AS ids FROM step WHERE done GROUP BY word
 """
 
 _DECODE = """
@@ -127,8 +125,8 @@ class Codec:
         self.base = np.array([self.ranks[bytes([b])] for b in range(256)])
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
         names = ["left_tok", "right_tok", "merged"]
-        merges = pa.table([pa.array(c, pa.int64()) for c in zip(*merge_table(self.ranks), strict=True)], names)
-        tokens = pa.table({"tok": pa.array(list(self.ranks.values()), pa.int64()), "hex": [t.hex() for t in self.ranks]})
+        merges = pa.table([pa.array(c, pa.int32()) for c in zip(*merge_table(self.ranks), strict=True)], names)
+        tokens = pa.table({"tok": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]})
         for name, table in (("merges", merges), ("vocabulary", tokens)):
             self.con.register("incoming", table)
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
@@ -169,7 +167,7 @@ class Codec:
             after, after_token = place + 1, np.append(token[1:], -1)
             after[end - 1] = after_token[end - 1] = -1
             names = ["word", "pos", "tok", "next_pos", "next_tok"]
-            table = pa.table([pa.array(c) for c in (number, place, token, after, after_token)], names)
+            table = pa.table([pa.array(c.astype(np.int32)) for c in (number, place, token, after, after_token)], names)
             for i, ids in self._query(_ENCODE, "first_tokens", table):
                 out[part[i][0]] = ids
             at = stop
@@ -177,14 +175,14 @@ class Codec:
 
     def decode_ids(self, joined: list[str]) -> list[bytes]:
         """Bytes of each comma-joined list of ids."""
-        number, place, token = [], [], []
-        for i, ids in enumerate(joined):
-            own = ids.split(",") if ids else []
-            number += [i] * len(own)
-            place += range(len(own))
-            token += map(int, own)
-        table = pa.table({c: pa.array(v, pa.int64()) for c, v in (("word", number), ("pos", place), ("tok", token))})
         out = [b""] * len(joined)
+        n = np.array([ids.count(",") + 1 if ids else 0 for ids in joined], np.int64)
+        if not n.sum():
+            return out
+        token = np.array(",".join(filter(None, joined)).split(","), np.int32)
+        end = np.cumsum(n)
+        columns = np.repeat(np.arange(len(n)), n), np.arange(len(token)) - np.repeat(end - n, n), token
+        table = pa.table([pa.array(c.astype(np.int32)) for c in columns], ["word", "pos", "tok"])
         for i, raw in self._query(_DECODE, "id_rows", table):
             out[i] = bytes(raw)
         return out
@@ -195,33 +193,38 @@ class Codec:
             return self.words_of(segment)
         return [plain[1], plain[2]] if plain[2] else [plain[1]]
 
-    def learn(self, new: set[str]) -> dict[str, tuple[str, bytes]]:
-        """Ids and decoded bytes of segments that aren't kept yet."""
+    def learn(self, new: set[str]) -> None:
+        """Adds the ids and decoded bytes of segments to the tables; `forget` makes room again."""
         cut = {s: self._cut(s) for s in new}
-        unknown = list({w for words in cut.values() for w in words} - self.words.keys())
+        known = self.words
+        unknown = list(set().union(*cut.values()).difference(known))
         ids = self.encode_words(unknown)
-        found = dict(zip(unknown, zip((ids[w] for w in unknown), self.decode_ids([ids[w] for w in unknown]), strict=True), strict=True))
-        get = self.words.get
-        out = {}
+        joined = [ids[w] for w in unknown]
+        known.update(zip(unknown, zip(joined, self.decode_ids(joined), strict=True), strict=True))
         for s, words in cut.items():
-            own = [get(w) or found[w] for w in words]
-            out[s] = (",".join(o[0] for o in own), b"".join(o[1] for o in own))
-        room = KEPT_WORDS - len(self.words)
-        self.words.update(list(found.items())[:room] if room > 0 else ())
-        room = KEPT_SEGMENTS - len(self.kept)
-        self.kept.update(list(out.items())[:room] if room > 0 else ())
-        return out
+            if len(words) == 1:
+                self.kept[s] = known[words[0]]
+            else:
+                own = [known[w] for w in words]
+                self.kept[s] = (",".join([o[0] for o in own]), b"".join([o[1] for o in own]))
+
+    def forget(self) -> None:
+        """Drops the latest entries beyond the tables' bounds."""
+        for table, most in ((self.words, KEPT_WORDS), (self.kept, KEPT_SEGMENTS)):
+            while len(table) > most:
+                table.popitem()
 
     def texts(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """Comma-joined ids and decoded bytes of each text."""
         cut = [segments(t) if t else [] for t in texts]
-        found = [list(map(self.kept.get, own)) for own in cut]
-        new = {s for own, f in zip(cut, found, strict=True) if None in f for s, x in zip(own, f, strict=True) if x is None}
-        out = self.learn(new) if new else {}
-        for own, f in zip(cut, found, strict=True):
-            if None in f:
-                f = [out[s] if x is None else x for s, x in zip(own, f, strict=True)]
-            yield ",".join([x[0] for x in f]), b"".join([x[1] for x in f])
+        kept = self.kept
+        new = {s for own in cut for s in own if s not in kept}
+        if new:
+            self.learn(new)
+        for own in cut:
+            found = [kept[s] for s in own]
+            yield ",".join([f[0] for f in found]), b"".join([f[1] for f in found])
+        self.forget()
 
 
 @lru_cache(maxsize=1)
