@@ -3,10 +3,12 @@
 A document's ids are cut into full pieces and a remainder. Remainders are
 items of the cutting-stock problem; only the histogram of their lengths (at
 most `size` numbers, whatever the input) reaches the driver. There a linear
-program over patterns is solved by column generation: the dual prices of the
-lengths go into a knapsack by dynamic programming, whose best fill becomes the
-next pattern, until no pattern prices out or the gap to the bound is closed.
-Patterns are rounded down to whole numbers and only nearly full ones are used.
+program over patterns is solved by column generation: it starts from patterns
+that take the longest lengths first, the dual prices of the lengths go into a
+knapsack by dynamic programming, whose best fill becomes the next pattern, until
+no pattern prices out or the gap to the bound is closed; nothing else ends it.
+Patterns are rounded down to whole numbers, what that leaves is patterned as the
+start was, and only nearly full patterns are used.
 
 Remainders are ranked within their length by (task, place in the task), which
 needs one small count table and no sort. A rank picks its pattern, instance
@@ -37,8 +39,8 @@ SIZE = 1024
 END = 0
 #: Share of a sequence that a pattern must fill to be used.
 FILL = 0.99
-#: Column generation ends here at the latest; what patterns miss goes to the stream.
-MOST_COLUMNS = 300
+#: Column generation ends when the number of sequences is within this share of its lower bound.
+GAP = 1e-7
 #: Rows of three numbers that are broadcast at most, 24 MB; beyond that the join shuffles.
 BROADCAST_COUNTS = 1_000_000
 
@@ -108,49 +110,105 @@ def best_fill(price: np.ndarray, lengths: np.ndarray, size: int) -> tuple[float,
     return float(value[size]), count
 
 
-def first_basis(lengths: np.ndarray, demand: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Columns to start from, and their inverse: a length with its complement, the more frequent alone."""
-    at = {int(n): i for i, n in enumerate(lengths)}
-    basis = np.diag(size // lengths).astype(float)
-    inverse = np.diag(1 / (size // lengths))
-    for n, i in at.items():
-        j = at.get(size - n)
-        if j is None or i >= j:
-            continue
-        rare, often = (i, j) if demand[i] <= demand[j] else (j, i)
-        basis[rare, rare] = basis[often, rare] = inverse[rare, rare] = 1
-        inverse[often, rare] = -inverse[often, often]
-    return basis, inverse
+def next_pattern(left: np.ndarray, size: int, whole: bool) -> np.ndarray:
+    """Counts of a pattern for `left[L]` pieces of each length L: the longest first, the end filled exactly if one or two can.
+
+    `whole`: use no more pieces than are left. Otherwise a length that is left may come any number of times.
+    """
+    count = np.zeros(len(left), np.int64)
+    room, spare = size, left.astype(float)
+    while room > 0:
+        have = spare[: room + 1] >= 1 if whole else spare[: room + 1] > 0
+        if not have.any():
+            break
+        if count.any():
+            short = np.arange(1, room // 2 + 1)
+            both = np.minimum(spare[short], spare[room - short]) * (have[short] & have[room - short])
+            if whole and room % 2 == 0 and spare[room // 2] < 2:
+                both[-1] = 0
+            if have[room]:
+                taken = [room]
+            elif both.any():
+                k = int(short[both.argmax()])
+                taken = [k, room - k]
+            else:
+                taken = [int(np.flatnonzero(have)[-1])]
+        else:
+            taken = [int(np.flatnonzero(have)[-1])]
+        for n in taken:
+            count[n] += 1
+            room -= n
+            spare[n] -= whole
+    return count
+
+
+def first_basis(lengths: np.ndarray, demand: np.ndarray, size: int) -> np.ndarray:
+    """Columns to start from. Each pattern uses up a length that no later one holds, so the columns are independent."""
+    m = len(lengths)
+    left = np.zeros(size + 1)
+    left[lengths] = demand
+    basis = np.zeros((m, m))
+    for _ in range(m):
+        if not left.any():
+            break
+        count = next_pattern(left, size, False)
+        own = np.flatnonzero(count)
+        times = left[own] / count[own]
+        gone = own[int(times.argmin())]
+        left[own] -= times.min() * count[own]
+        left[gone] = 0
+        left[left < 1e-9] = 0
+        basis[:, np.searchsorted(lengths, gone)] = count[lengths]
+    for i in np.flatnonzero(~basis.any(axis=0)):  # used up together with another length
+        basis[i, i] = size // lengths[i]
+    return basis
 
 
 def generate_patterns(
-    lengths: np.ndarray, demand: np.ndarray, size: int = SIZE, most: int = MOST_COLUMNS, gap: float = 2e-4
-) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (rows of counts) and their fractional numbers, by revised simplex with priced columns."""
+    lengths: np.ndarray, demand: np.ndarray, size: int = SIZE, gap: float = GAP
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """Patterns (rows of counts), their fractional numbers and a lower bound of their sum, by revised simplex.
+
+    Columns are priced at a mean of the present and the best prices so far, which swings less, and at the
+    present ones where that finds none. Ends when the sum is within `gap` of the bound or no column prices out.
+    """
     m = len(lengths)
-    basis, inverse = first_basis(lengths, demand, size)
-    amount = np.maximum((inverse * demand).sum(1), 0)
-    for _ in range(most):
+    demand = demand + np.linspace(1e-7, 2e-7, m)  # no two amounts alike, so that no basis comes again
+    basis = first_basis(lengths, demand, size)
+    inverse = np.linalg.inv(basis)
+    amount = np.maximum(inverse @ demand, 0)
+    # Prices by length are dual feasible; any others are once divided by the worth of their best fill.
+    best = lengths / size
+    bound = float(best @ demand)
+    pivots = 0
+    while True:
         price = inverse.sum(0)
-        worth, column = best_fill(np.maximum(price, 0), lengths, size)
-        # Farley's bound: the present price sum over the best column's worth.
-        if worth <= 1 + gap:
+        for guess in (0.7 * best + 0.3 * np.maximum(price, 0), np.maximum(price, 0)):
+            worth, column = best_fill(guess, lengths, size)
+            if guess @ demand > bound * worth:
+                bound, best = float(guess @ demand) / worth, guess / worth
+            if price @ column > 1 + 1e-7:
+                break
+        else:
+            break
+        if amount.sum() <= bound * (1 + gap):
             break
-        own = np.flatnonzero(column)
-        step = (inverse[:, own] * column[own]).sum(1)
+        step = inverse @ column
         ratio = np.where(step > 1e-9, amount / np.where(step > 1e-9, step, 1), np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
             break
-        amount = amount - ratio[out] * step
-        amount[out] = ratio[out]
-        amount = np.maximum(amount, 0)
-        row = inverse[out] / step[out]
-        step[out] = 0
-        inverse -= np.outer(step, row)
-        inverse[out] = row
         basis[:, out] = column
-    return basis.T.round().astype(np.int64).reshape(m, m), amount
+        pivots += 1
+        if pivots % 200:
+            row = inverse[out] / step[out]
+            step[out] = 0
+            inverse -= np.outer(step, row)
+            inverse[out] = row
+        else:
+            inverse = np.linalg.inv(basis)
+        amount = np.maximum(inverse @ demand, 0)
+    return basis.T.round().astype(np.int64).reshape(m, m), amount, bound
 
 
 @dataclass(frozen=True)
@@ -194,26 +252,37 @@ def make_plan(counts: np.ndarray, size: int = SIZE, fill: float = FILL) -> Plan:
     sequence, placed = int(counts[size]), np.zeros(size + 1, np.int64)
     placed[size] = counts[size]
     if len(lengths):
-        patterns, amount = generate_patterns(lengths, left[lengths].astype(float), size)
-        used = patterns @ lengths
-        order = np.lexsort((np.arange(len(used)), -used))
-        for whole in (True, False):  # rounded numbers first, then what the rounding has left
-            for p in order:
-                if used[p] < fill * size or used[p] > size:
-                    continue
-                own = np.flatnonzero(patterns[p])
-                fits = int((left[lengths[own]] // patterns[p][own]).min())
-                times = min(int(amount[p] + 1e-9), fits) if whole else fits
-                if times <= 0:
-                    continue
-                offset = 0
-                for j in own:
-                    n, k = int(lengths[j]), int(patterns[p][j])
-                    rows.append((n, int(placed[n]), k, sequence, offset))
-                    placed[n] += k * times
-                    left[n] -= k * times
-                    offset += k * n
-                sequence += times
+        patterns, amount, _ = generate_patterns(lengths, left[lengths].astype(float), size)
+
+        def use(counts: np.ndarray, times: int) -> None:
+            nonlocal sequence
+            offset = 0
+            for n in np.flatnonzero(counts)[::-1].tolist():
+                k = int(counts[n])
+                rows.append((n, int(placed[n]), k, sequence, offset))
+                placed[n] += k * times
+                left[n] -= k * times
+                offset += k * n
+            sequence += times
+
+        filled = patterns @ lengths
+        for p in np.lexsort((np.arange(len(filled)), -filled)):  # the rounded patterns
+            times = int(amount[p] + 1e-6)
+            if times and fill * size <= filled[p] <= size:
+                counts = np.zeros(size + 1, np.int64)
+                counts[lengths] = patterns[p]
+                own = counts > 0
+                use(counts, min(times, int((left[own] // counts[own]).min())))
+        open_ = left.copy()
+        while open_.any():  # what the rounding has left: at most a sequence a pattern
+            counts = next_pattern(open_, size, True)
+            own = counts > 0
+            if counts @ np.arange(size + 1) >= fill * size:
+                times = int((open_[own] // counts[own]).min())
+                use(counts, times)
+                open_[own] -= counts[own] * times
+            else:
+                open_[np.flatnonzero(own)[-1]] = 0  # no good pattern begins with this length: it stays for the stream
     rows.sort()
     where = np.array(rows, np.int64).reshape(-1, 5)
     at = np.searchsorted(where[:, 0], np.arange(size + 2))
