@@ -180,3 +180,18 @@ def test_weighted_rows_equal_copied_rows(spark, data):
         assert a["param"] == b["param"] and a["mean_test_score"] == pytest.approx(b["mean_test_score"], abs=1e-5)
     own = {r["motif"]: r["coef"] for r in fit.coefficients.collect()}
     assert own == pytest.approx({r["motif"]: r["coef"] for r in plain.coefficients.collect()}, abs=1e-4)
+
+
+@pytest.mark.parametrize("files", [0, 3])
+def test_stream_scores_read_a_file_or_a_folder(spark, tmp_path, files):
+    """The documents table is one file, or a folder of files."""
+    from strandwise.plans.registry import REGISTRY
+
+    docs = spark.createDataFrame([(i, "acgt" * i + "gtc") for i in range(20)], "doc_id BIGINT, text STRING")
+    if files:
+        docs.repartition(files).write.parquet(str(tmp_path / "documents.parquet"))
+    else:
+        docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    got = REGISTRY["stream_scores"](spark, str(tmp_path))
+    want = REGISTRY["score_sequences"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 20
