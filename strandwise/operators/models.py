@@ -231,7 +231,9 @@ def _search_linear(
         share = e.getElasticNetParam()
         l1[i, : len(t.vocab)], l2[i, : len(t.vocab)] = e.getRegParam() * share, e.getRegParam() * (1 - share)
     tasks = -(-t.n_rows * max(1, min(len(searched), solver.SOLVE_CELLS // max(width, 1))) // CELLS_PER_TASK)
-    data = data.repartition(max(1, min(tasks, -(-t.n_rows // 64)))).persist()
+    # Each task sends a matrix in every pass: no more of them than run at once.
+    tasks = min(tasks, -(-t.n_rows // 64), spark.sparkContext.defaultParallelism)
+    data = data.repartition(max(1, tasks)).persist()
     split = np.array([s for s, _ in searched], np.int64)
     w = solver.solve(data, solver.Models(split, l1, l2), max_iter, tol)
     brier, right = solver.held_out_scores(data, w, split)

@@ -8,7 +8,7 @@ orthant projection (for the L1 part) is taken for all models at once. A search
 therefore costs as many passes as its slowest model needs, not one fit a model.
 
 Rows stay distributed: a task adds up its rows' losses and gradients, and what
-comes back is one matrix a task. Models are taken in blocks, so that a block's
+comes back is a matrix or a few a pass. Models are taken in blocks, so that a block's
 matrices stay within SOLVE_CELLS numbers, whatever the number of features.
 """
 
@@ -28,8 +28,8 @@ SOLVE_CELLS = 1_000_000
 STEP_CELLS = 2_000_000
 #: Up to so many features a task works on dense rows.
 DENSE = 1024
-#: Bytes of partial sums that come to the driver at once; more are added up in the tasks first.
-GATHER_BYTES = 64 << 20
+#: Partial sums that come to the driver at once; more are added up in a task first.
+GATHER_PARTS = 4
 #: Lengths of a step that a pass tries, once few models are unfinished.
 TRIALS = 6
 #: Former steps that the curvature estimate rests on.
@@ -190,11 +190,20 @@ def _sums(
             total += per_rows(_Rows(part, w.shape[1], splits), w, column)
         yield pa.RecordBatch.from_arrays([pa.array([packed(total)], pa.binary())], names=["part"])
 
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for part in batch.column(0):
+                own = unpacked(part.as_buffer())
+                total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([packed(total)], pa.binary())], names=["part"])
+
     parts = data.mapInArrow(partial, "part BINARY")
-    if data.rdd.getNumPartitions() * 8 * shape[0] * shape[1] <= GATHER_BYTES:
-        total = sum((unpacked(r["part"]) for r in parts.collect()), np.zeros(shape))
-    else:
-        total = parts.rdd.map(lambda r: unpacked(r["part"])).treeReduce(np.add)
+    if data.rdd.getNumPartitions() > GATHER_PARTS:
+        # Added up by a task, so one matrix a pass reaches the driver.
+        parts = parts.repartition(1).mapInArrow(added, "part BINARY")
+    total = sum((unpacked(r["part"]) for r in parts.collect()), np.zeros(shape))
     sent.destroy()
     return total
 

@@ -195,3 +195,22 @@ def test_stream_scores_read_a_file_or_a_folder(spark, tmp_path, files):
     got = REGISTRY["stream_scores"](spark, str(tmp_path))
     want = REGISTRY["score_sequences"](spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 20
+
+
+def test_sums_reach_the_driver_as_one_matrix(spark, monkeypatch):
+    """However many partitions the rows have; no task per so many rows is made either."""
+    from strandwise.operators import solver
+
+    rows = [(float(i % 2), 1.0, [], [i % 3], [1.0]) for i in range(90)]
+    schema = "label DOUBLE, weight DOUBLE, held ARRAY<INT>, idx ARRAY<INT>, val ARRAY<DOUBLE>"
+    data = spark.createDataFrame(rows, schema)
+    w, split, collected = np.zeros((2, 3)), np.array([-1, -1]), []
+    kept = type(data).collect
+
+    def collect(df):
+        collected.append(kept(df))
+        return collected[-1]
+
+    monkeypatch.setattr(type(data), "collect", collect)
+    sums = [solver._sums(data.repartition(n), w, split, solver._losses, 5) for n in (1, 30)]
+    assert [len(c) for c in collected] == [1, 1] and np.allclose(sums[0], sums[1])
