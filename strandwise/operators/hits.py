@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.functions.nucleotide import PATTERN_BASES, motif_regex, pattern_bases
 from strandwise.functions.scoring import bed_score
+from strandwise.operators.codes import MAX_K, look_up
 from strandwise.operators.windows import (
     tile_sequences,
     tile_starts,
@@ -87,6 +89,20 @@ def expand_anchors(anchors: DataFrame) -> DataFrame:
     )
 
 
+def _anchor_codes(anchors: DataFrame, shapes: list[tuple[int, int, int]]) -> list[np.ndarray]:
+    """For each shape the codes of its anchors' concrete texts (their first MAX_K letters)."""
+    digits = {x: np.array(["ACGT".index(b) for b in bases]) for x, bases in PATTERN_BASES.items()}
+    found: dict[tuple[int, int, int], list[np.ndarray]] = {s: [] for s in shapes}
+    table = anchors.select("motif", "width", "offset", "size").toArrow().to_pydict()
+    for motif, *shape in zip(table["motif"], table["width"], table["offset"], table["size"]):
+        codes = np.zeros(1, np.int64)
+        # Unknown letters are left to `expand_anchors`, which raises an error.
+        for x in motif[shape[1] : shape[1] + min(shape[2], MAX_K)]:
+            codes = (codes[:, None] << 2 | digits.get(x, digits["A"])).ravel()
+        found[tuple(shape)].append(codes)
+    return [np.unique(np.concatenate(found[s])) for s in shapes]
+
+
 def motif_hits(
     seqs: DataFrame,
     motifs: DataFrame,
@@ -99,7 +115,8 @@ def motif_hits(
     Matching is case-sensitive and letters outside ACGT match nothing. Every
     window is looked up in the table of concrete anchor texts by equality. The
     number of those texts is computed first: up to `broadcast_rows` of them are
-    broadcast, so the windows are never shuffled; beyond that Spark shuffles.
+    broadcast, and tasks only hand on the windows whose code is among them;
+    beyond that Spark shuffles the windows.
     """
     # Written, since planning needs its shapes and size; one row per motif.
     anchors = cut_lineage(motif_anchors(motifs, max_expand))
@@ -110,11 +127,23 @@ def motif_hits(
     if not shapes:
         return seqs.select(key, F.lit("").alias("motif"), F.lit(0).cast("bigint").alias("pos")).limit(0)
     if sum(s["n"] for s in shapes) <= broadcast_rows:
+        known = [(s["width"], s["offset"], s["size"]) for s in shapes]
+        windows = look_up(seqs, key, known, _anchor_codes(anchors, known))
+        windows = windows.withColumn("anchor", F.substr("text", F.col("offset") + 1, F.col("size")))
         table = F.broadcast(table)
+    else:
+        windows = _all_windows(seqs, key, shapes)
+    found = windows.join(table, ["width", "offset", "size", "anchor"])
+    if any(s["size"] < s["width"] for s in shapes):
+        matches = F.call_function("rlike", F.col("text"), F.concat(F.lit("^"), motif_regex("motif"), F.lit("$")))
+        found = found.filter((F.col("size") == F.col("width")) | matches)
+    return found.select(key, "motif", "pos")
+
+
+def _all_windows(seqs: DataFrame, key: str, shapes: list) -> DataFrame:
+    """`key, pos, width, offset, size, anchor, text`: every window of every shape."""
     widest = max(s["width"] for s in shapes)
     narrowest = min(s["width"] for s in shapes)
-    wide = any(s["size"] < s["width"] for s in shapes)
-
     starts = tile_sequences(seqs, widest, [key]).select(
         key, "tile_no", "tile", F.explode(tile_starts(narrowest)).alias("i")
     )
@@ -124,32 +153,17 @@ def motif_hits(
             F.lit(s["offset"]).alias("offset"),
             F.lit(s["size"]).alias("size"),
             window_text("tile", F.col("i") + s["offset"], s["size"]).alias("anchor"),
+            # The whole window is only verified where its anchor is a part of it.
+            window_text("tile", F.col("i"), s["width"] if s["size"] < s["width"] else 0).alias("text"),
         )
         for s in shapes
     ]
-    carried = [key, window_position(F.col("i")).alias("pos")]
-    if wide:
-        carried += ["tile", "i"]
     room = F.length("tile") - F.col("i") + 1
-    if len(shapes) == 1:
-        windows = starts.select(
-            *carried, *[probes[0][f].alias(f) for f in ("width", "offset", "size", "anchor")]
-        )
-    else:
-        windows = (
-            starts.select(*carried, room.alias("room"), F.explode(F.array(*probes)).alias("p"))
-            .filter(F.col("room") >= F.col("p.width"))
-            .select(
-                *[c if isinstance(c, str) else F.col("pos") for c in carried],
-                "p.width", "p.offset", "p.size", "p.anchor",
-            )
-        )
-    found = windows.join(table, ["width", "offset", "size", "anchor"])
-    if wide:
-        text = window_text("tile", F.col("i"), F.col("width"))
-        matches = F.call_function("rlike", text, F.concat(F.lit("^"), motif_regex("motif"), F.lit("$")))
-        found = found.filter((F.col("size") == F.col("width")) | matches)
-    return found.select(key, "motif", "pos")
+    return (
+        starts.select(key, window_position(F.col("i")).alias("pos"), room.alias("room"), F.explode(F.array(*probes)).alias("p"))
+        .filter(F.col("room") >= F.col("p.width"))
+        .select(key, "pos", "p.*")
+    )
 
 
 def motif_score_table(hits: DataFrame, motifs: DataFrame, seqs: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 """Windows counted as codes against a plain count of texts."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
 
-from strandwise.operators import codes, kmers
+from strandwise.operators import codes, hits, kmers
 
 PAIRS = str.maketrans("ACGTRYKMBVDHacgtrykmbvdh", "TGCAYRMKVBHDtgcayrmkvbhd")
 
@@ -57,3 +58,20 @@ def test_steps_in_pieces(spark, monkeypatch):
     got = {(r.bin, r.kmer): r.prevalence for r in kmers.weighted_prevalence(records, "bin", 6).collect()}
     whole, head = canonical(text, 6), canonical(text[:70], 6)
     assert all(got[1, w] == 3 + 2 * (w in head) and got[2, w] == 5 for w in whole)
+
+
+@pytest.mark.parametrize("step", [70, 1 << 20])
+def test_look_up_of_motifs(spark, motif_table, monkeypatch, step):
+    """Tasks hand on the windows that a motif's code finds; long motifs, other letters, nulls, repeats."""
+    monkeypatch.setattr(codes, "STEP_LETTERS", step)
+    r = random.Random(5)
+    texts = ["".join(r.choices("ACGTN" if i % 3 else "ACGT", k=n)) for i, n in enumerate([0, 2, 900, 333, 90, 90, 12])]
+    long = texts[2][100:140].replace("N", "A")
+    data = [*((f"s{i}", t) for i, t in enumerate(texts)), ("s3", texts[3]), (None, texts[4] + long), ("z", None)]
+    names = {"ACR": "AC[AG]", "ANNNNNNNNNNT": "A[ACGT]{10}T", long[:12] + "Y": long[:12] + "[CT]", long: long}
+    found = hits.motif_hits(spark.createDataFrame(data, "seq_id STRING, seq STRING"), motif_table(*names))
+    want = [(str(s), m, x.start()) for s, t in data for m, p in names.items() for x in re.finditer(f"(?={p})", t or "")]
+    assert sorted((str(x.seq_id), x.motif, x.pos) for x in found.collect()) == sorted(want)
+    assert any(m == long for _, m, _ in want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "posexplode" not in plan
