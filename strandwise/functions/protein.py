@@ -25,7 +25,7 @@ CODON_TABLE = {
 IDENTITY_ALPHABET = {r: r for r in RESIDUES}
 
 
-def _ambiguous_codons() -> dict[str, str]:
+def ambiguous_codons() -> dict[str, str]:
     """Codons with IUPAC codes that still name one residue (or a named pair)."""
     out = {}
     for codon in product(IUPAC_BASES, repeat=3):
@@ -53,7 +53,7 @@ def translate_codons(c: Column | str) -> Column:
     `substr` over the whole sequence.
     """
     rna_free = F.translate(F.upper(_col(c)), "U", "T")
-    plain, ambiguous = _literal_map(CODON_TABLE), _literal_map(_ambiguous_codons())
+    plain, ambiguous = _literal_map(CODON_TABLE), _literal_map(ambiguous_codons())
     valid = "^[" + "".join(IUPAC_BASES) + "]{3}$"
 
     def residue(codon: Column) -> Column:

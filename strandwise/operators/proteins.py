@@ -14,6 +14,7 @@ from strandwise.functions.protein import (
     protein_of,
 )
 from strandwise.operators.kmers import above_quantile
+from strandwise.operators.residues import Classes, any_word, word_counts
 from strandwise.operators.windows import kmer_windows
 from strandwise.plans.lineage import BROADCAST_ROWS, broadcast_if_small
 
@@ -35,23 +36,24 @@ def amino_kmer_counts(
     """`accession, word, cnt` over all coding sequences of an accession.
 
     Proteins with J, B or Z are skipped. An accession without any word keeps
-    one row with a null word and count 0. Words are summed map-side before the
-    shuffle on (accession, word), so a large accession spreads.
+    one row with a null word and count 0. Tasks translate and count; their sums
+    are shuffled by (accession, word), so a large accession spreads.
     """
-    proteins = cds_translate(cds, k).filter(~has_ambiguous_residue("protein"))
-    encoded = proteins.select("accession", alphabet_encode("protein", alphabet).alias("seq"))
-    counts = (
-        kmer_windows(encoded, k, include_last=True, key=["accession"])
-        .groupBy("accession", F.col("kmer").alias("word"))
-        .agg(F.count("*").alias("cnt"))
-    )
+    classes = Classes(alphabet)
+    # Not a filter: pushed down it would derive the sequence once for each use of its length.
+    valid = cds.select("accession", F.when(is_valid_cds("seq", k), F.col("seq")).alias("seq"))
+    if classes.fits(k):
+        words = word_counts(valid, k, classes)
+    else:
+        proteins = cds_translate(cds, k).filter(~has_ambiguous_residue("protein"))
+        encoded = proteins.select("accession", alphabet_encode("protein", alphabet).alias("seq"))
+        words = kmer_windows(encoded, k, include_last=True, key=["accession"]).select(
+            "accession", F.col("kmer").alias("word"), F.lit(1).cast("bigint").alias("n")
+        )
+    counts = words.groupBy("accession", "word").agg(F.sum("n").alias("cnt"))
     # Whether an accession has any word shows in its proteins; the words
     # themselves need not be made a second time.
-    protein = protein_of("seq")
-    has_word = F.when(
-        is_valid_cds("seq", k), ~has_ambiguous_residue(protein) & (F.length(protein) >= k)
-    ).otherwise(False)
-    silent = cds.groupBy("accession").agg(F.max(has_word).alias("any")).filter(~F.col("any"))
+    silent = any_word(valid, k).groupBy("accession").agg(F.max("any").alias("any")).filter(~F.col("any"))
     return counts.unionByName(
         silent.select(
             "accession",
