@@ -14,7 +14,7 @@ from strandwise.functions.protein import (
     protein_of,
 )
 from strandwise.operators.kmers import above_quantile
-from strandwise.operators.residues import Classes, any_word, word_counts
+from strandwise.operators.residues import Classes, any_word, word_counts, word_places
 from strandwise.operators.windows import kmer_windows
 from strandwise.plans.lineage import BROADCAST_ROWS, broadcast_if_small
 
@@ -94,14 +94,41 @@ def amino_motif_locations(
     accession, coef`, non-overlapping hits from left to right.
 
     A class pattern matches exactly where the window spells the word in the
-    reduced alphabet, so hits come from an equality join. Overlaps are then
-    resolved per record and word: a hit counts unless it begins inside the
-    last one that counted. Those lists are bounded by one protein's length.
+    reduced alphabet, so hits are looked up by equality: tasks translate a record,
+    look up its windows' codes and resolve overlaps per word; a hit counts unless
+    it begins inside the last one that counted. The hits are joined to `coefs`.
+    Words that tasks can't look up (long ones, or more than `broadcast_rows`) are
+    joined to all windows.
 
     Records are told apart by their text as well as their id, so ids may repeat;
     a record that is there n times has each of its positions n times.
     """
     name = "description" if "description" in cds.columns else "seq_id"
+    classes = Classes(alphabet, " ")
+    few = coefs.limit(broadcast_rows + 1).count() <= broadcast_rows
+    widths = sorted(r["w"] for r in coefs.select(F.length("motif").alias("w")).distinct().collect())
+    coded = [k for k in widths if few and classes.fits(k)]
+    out = None
+    if coded:
+        own = coefs.filter(F.length("motif").isin(coded))
+        listed = own.select("motif").distinct().toArrow().column(0).to_pylist()
+        named = cds.select("accession", F.col(name).alias("name"), "seq")
+        k = F.length("motif")
+        out = word_places(named, listed, classes).join(F.broadcast(own), "motif").select(
+            "amino_match", F.col("pos").alias("start"), (F.col("pos") + k).alias("end"), "motif", "name", "accession", "coef"
+        )
+    for k in widths:
+        if k not in coded:
+            located = _joined_locations(cds, name, coefs, k, alphabet, broadcast_rows)
+            out = located if out is None else out.unionByName(located)
+    return out
+
+
+def _joined_locations(
+    cds: DataFrame, name: str, coefs: DataFrame, k: int, alphabet: dict[str, str] | None, broadcast_rows: int
+) -> DataFrame:
+    """Locations of the words of k letters: all windows joined to them, overlaps resolved per
+    record and word. Those lists are bounded by one protein's length."""
     record = ["seq_id", "accession", "name", "record"]
     proteins = cds.select(
         "seq_id",
@@ -110,46 +137,41 @@ def amino_motif_locations(
         F.xxhash64("seq").alias("record"),
         protein_of("seq").alias("seq"),
     )
-    widths = [r["w"] for r in coefs.select(F.length("motif").alias("w")).distinct().collect()]
     words = broadcast_if_small(coefs, broadcast_rows)
-    out = None
-    for k in sorted(widths):
-        windows = kmer_windows(proteins, k, True, record).withColumnRenamed("kmer", "amino_match")
-        hits = (
-            windows.withColumn("motif", alphabet_classes("amino_match", alphabet))
-            .join(words, "motif")
-            .groupBy(*record, "motif", "coef", "pos", "amino_match")
-            .agg(F.count("*").alias("times"))
-            .groupBy(*record, "motif", "coef")
-            .agg(
-                F.max("times").cast("int").alias("times"),
-                F.sort_array(F.collect_list(F.struct("pos", "amino_match"))).alias("at"),
-            )
+    windows = kmer_windows(proteins, k, True, record).withColumnRenamed("kmer", "amino_match")
+    hits = (
+        windows.withColumn("motif", alphabet_classes("amino_match", alphabet))
+        .join(words, "motif")
+        .groupBy(*record, "motif", "coef", "pos", "amino_match")
+        .agg(F.count("*").alias("times"))
+        .groupBy(*record, "motif", "coef")
+        .agg(
+            F.max("times").cast("int").alias("times"),
+            F.sort_array(F.collect_list(F.struct("pos", "amino_match"))).alias("at"),
         )
-        never = F.lit(-k).cast("bigint")
-        kept = F.aggregate(
-            "at",
+    )
+    never = F.lit(-k).cast("bigint")
+    kept = F.aggregate(
+        "at",
+        F.struct(
+            never.alias("last"),
+            F.array().cast("array<struct<pos:bigint,amino_match:string>>").alias("kept"),
+        ),
+        lambda acc, hit: F.when(
+            hit["pos"] >= acc["last"] + k,
             F.struct(
-                never.alias("last"),
-                F.array().cast("array<struct<pos:bigint,amino_match:string>>").alias("kept"),
+                hit["pos"].alias("last"), F.array_append(acc["kept"], hit).alias("kept")
             ),
-            lambda acc, hit: F.when(
-                hit["pos"] >= acc["last"] + k,
-                F.struct(
-                    hit["pos"].alias("last"), F.array_append(acc["kept"], hit).alias("kept")
-                ),
-            ).otherwise(acc),
-            lambda acc: acc["kept"],
-        )
-        copies = F.flatten(F.array_repeat(kept, F.col("times")))
-        located = hits.select("accession", "name", "motif", "coef", F.explode(copies).alias("hit")).select(
-            F.col("hit.amino_match").cast("string").alias("amino_match"),
-            F.col("hit.pos").alias("start"),
-            (F.col("hit.pos") + k).alias("end"),
-            "motif",
-            "name",
-            "accession",
-            "coef",
-        )
-        out = located if out is None else out.unionByName(located)
-    return out
+        ).otherwise(acc),
+        lambda acc: acc["kept"],
+    )
+    copies = F.flatten(F.array_repeat(kept, F.col("times")))
+    return hits.select("accession", "name", "motif", "coef", F.explode(copies).alias("hit")).select(
+        F.col("hit.amino_match").cast("string").alias("amino_match"),
+        F.col("hit.pos").alias("start"),
+        (F.col("hit.pos") + k).alias("end"),
+        "motif",
+        "name",
+        "accession",
+        "coef",
+    )

@@ -192,7 +192,6 @@ def word_places(cds: DataFrame, words: list[str], classes: Classes) -> DataFrame
         for batch in batches:
             for first, run, residue in _proteins(batch):
                 number = classes.number[residue]
-                begins = np.searchsorted(run, run)
                 for k, members, order, texts in wanted:
                     at, code = _words(run, number, k)
                     hit = members.places(code)
@@ -201,13 +200,13 @@ def word_places(cds: DataFrame, words: list[str], classes: Classes) -> DataFrame
                     at, slot = at[hit], np.searchsorted(order, code[hit])
                     by_word = np.lexsort((at, slot))
                     at, slot = at[by_word], slot[by_word]
-                    # Places of one word in one row; words of other rows are told apart by their row.
+                    # A group: the places of one word in one row.
                     group = np.cumsum(np.concatenate([[False], (slot[1:] != slot[:-1]) | (run[at[1:]] != run[at[:-1]])]))
                     kept = _apart(group, at, k)
                     at, slot = at[kept], slot[kept]
-                    rows = batch.take(pa.array(first + run[at]))
+                    rows = batch.select(["accession", "name"]).take(pa.array(first + run[at]))
                     match = byte_texts(residue[at[:, None] + np.arange(k)])
-                    pos = pa.array(at - begins[at], pa.int64())
+                    pos = pa.array(at - np.searchsorted(run, run[at]), pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [rows.column("accession"), rows.column("name"), texts.take(pa.array(slot)), pos, match],
                         names=["accession", "name", "motif", "pos", "amino_match"],

@@ -50,3 +50,27 @@ def test_counting_errors(spark):
         proteins.amino_kmer_counts(df("GCTGCTA?TGCT"), 2).collect()
     with pytest.raises(Exception, match="residue outside the alphabet in AAW"):
         proteins.amino_kmer_counts(df("GCTGCTTGG"), 2, ALPHABET).collect()
+
+
+@pytest.mark.parametrize("step", [50, 1 << 20])
+@pytest.mark.parametrize("broadcast_rows", [0, 10**6])
+def test_locations(spark, records, monkeypatch, step, broadcast_rows):
+    """Ids and words that repeat, residues outside the alphabet, words of several lengths."""
+    monkeypatch.setattr(codes, "STEP_LETTERS", step)
+    df = spark.createDataFrame(records, "seq_id STRING, accession STRING, seq STRING")
+    words = [("SS", 0.5), ("SKS", 1.0), ("SS", 0.5), ("SS", 2.0), ("SSSSSSSSSS", 1.5), ("M", 3.0), ("Q!", 1.0), ("S S", 4.0)]
+    want = []
+    for name, accession, seq in records:
+        p = protein(seq or "")
+        text = "".join(ALPHABET.get(x, " ") for x in p)
+        for word, coef in words:
+            at = text.find(word)
+            while at >= 0:
+                want.append((p[at : at + len(word)], at, at + len(word), word, str(name), str(accession), coef))
+                at = text.find(word, at + len(word))
+    coefs = spark.createDataFrame(words, "motif STRING, coef DOUBLE")
+    found = proteins.amino_motif_locations(df, coefs, ALPHABET, broadcast_rows)
+    got = [(r.amino_match, r.start, r.end, r.motif, str(r["name"]), str(r.accession), r.coef) for r in found.collect()]
+    assert sorted(got) == sorted(want)
+    only = proteins.amino_motif_locations(df, coefs.filter("length(motif) < 10"), ALPHABET, broadcast_rows)
+    assert ("posexplode" in only._jdf.queryExecution().optimizedPlan().toString()) == (broadcast_rows == 0)
