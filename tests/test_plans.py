@@ -3,7 +3,10 @@
 import contextlib
 import io
 
+from pyspark.sql import functions as F
+
 from strandwise.operators import hits, kmers
+from strandwise.plans import registry
 from strandwise.plans.lineage import by_record
 
 
@@ -28,3 +31,13 @@ def test_prevalence_adds_one_shuffle(seqs):
 def test_hits_do_not_shuffle_windows(seqs, motif_table):
     few = plan(hits.motif_hits(seqs("ACGTACGT"), motif_table("ACR")))
     assert "BroadcastHashJoin" in few and "hashpartitioning" not in few
+
+
+def test_references_derive_no_other_sequence(spark, tmp_path):
+    rows = [(1, "web", "Ab c"), (2, "web", "zz"), (4, "code", None), (3, "code", "a-z"), (3, "code", "y"), (5, None, "q")]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, source STRING, text STRING")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    refs = registry._references(spark, str(tmp_path))
+    text = plan(refs.filter(F.length("seq") > 0))
+    assert "regexp_replace" not in text and "hashpartitioning" not in text
+    assert sorted(map(tuple, refs.collect())) == [(1, "D1", "ACG"), (3, "D3", "A"), (3, "D3", "AC")]
