@@ -3,9 +3,13 @@
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from strandwise.functions.nucleotide import number_text
 from strandwise.operators import codes, hits, kmers
 
 PAIRS = str.maketrans("ACGTRYKMBVDHacgtrykmbvdh", "TGCAYRMKVBHDtgcayrmkvbhd")
@@ -75,3 +79,45 @@ def test_look_up_of_motifs(spark, motif_table, monkeypatch, step):
     assert any(m == long for _, m, _ in want)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "posexplode" not in plan
+
+
+@pytest.mark.parametrize("strands", [False, True])
+def test_counts_leave_a_task_in_small_batches(records, monkeypatch, strands):
+    """What many records or one long one hold is not handed on as one batch."""
+    for name, value in {"COUNT_LETTERS": 300, "COUNT_ROWS": 16}.items():
+        monkeypatch.setattr(codes, name, value, raising=False)
+    monkeypatch.setattr(codes, "_sorted_by_record", lambda *_: SimpleNamespace(mapInArrow=lambda f, _: f))
+    monkeypatch.setattr(codes, "_schema", lambda *_: None)
+    rows = [(f"{i}", t or "") for i, (_, t) in enumerate(records)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([i for i, _ in rows]), pa.array([t for _, t in rows]), pa.array([1] * len(rows), pa.int32())], names=["seq_id", "seq", "_n"]
+    )
+    out = list(codes.record_counts(None, 6, False, ["seq_id"], **({"strands": True} if strands else {}))(iter([batch])))
+    assert max(b.num_rows for b in out) <= (32 if strands else 16)
+    got = sorted(tuple(r.values()) for b in out for r in b.to_pylist())
+    want = []
+    for name, text in rows:
+        for lo, n in canonical(text, 6).items():
+            hi = lo.translate(PAIRS)[::-1]
+            if not strands:
+                want.append((name, lo, hi, n))
+            elif lo == hi:
+                want.append((name, lo, 2 * n - 1))
+            else:
+                want += [(name, lo, n), (name, hi, n)]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("k", [1, 5, 8])
+def test_numbers_order_windows_as_texts(spark, records, k):
+    df = spark.createDataFrame(records, "seq_id STRING, seq STRING")
+    counts = kmers.kmer_counts(df, k, number=True)
+    got = counts.groupBy("seq_id").agg(number_text(F.min("number")).alias("first"), number_text(F.max("number")).alias("last"))
+    want = counts.groupBy("seq_id").agg(F.min("kmer"), F.max("kmer"))
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    assert got.count() > 20 and counts.where("kmer rlike '[^ACGT]'").count()
+
+
+def test_long_windows_have_no_number(spark, records):
+    with pytest.raises(ValueError, match="longer than 8"):
+        kmers.kmer_counts(spark.createDataFrame(records, "seq_id STRING, seq STRING"), 9, number=True)
