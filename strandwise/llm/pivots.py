@@ -137,6 +137,7 @@ def search(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """`query, candidate, score`: places of the k best of a block for each query, by falling score, then id."""
     upper, floor = block.bounds(q, to_pivots, most), floor.copy()
+    last = np.full(len(q), np.iinfo(np.int64).max)  # the id of the k-th best
     best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     found, waiting = [best], 0
 
@@ -145,7 +146,8 @@ def search(
         order = np.lexsort((block.id[j], -score, i))
         i, j, score = i[order], j[order], score[order]
         rank = np.arange(len(i)) - np.searchsorted(i, i)
-        floor[i[rank == k - 1]] = np.maximum(floor[i[rank == k - 1]], score[rank == k - 1])
+        full = rank == k - 1
+        floor[i[full]], last[i[full]] = score[full], block.id[j[full]]
         return i[rank < k], j[rank < k], score[rank < k]
 
     top = upper.max(0)
@@ -158,9 +160,9 @@ def search(
         i, j = np.nonzero(scores >= floor[open_, None])
         score = scores[i, j].astype(float)
         i, j = open_[i], j + first
-        other = block.row[j] != row[i]
-        found.append((i[other], j[other], score[other]))
-        waiting += len(i)
+        wanted = (block.row[j] != row[i]) & ((score > floor[i]) | (block.id[j] <= last[i]))
+        found.append((i[wanted], j[wanted], score[wanted]))
+        waiting += len(found[-1][0])
         if waiting > GROUP * k:
             found, waiting = [kept()], 0
     return kept()
@@ -181,6 +183,8 @@ def top_k(vectors: DataFrame, id_column: str, column: str, is_query: Column, k:
     blocks = max(-(-facts["n"] // BLOCK), rows.sparkSession.sparkContext.defaultParallelism)
     # Sums of products of two rows' components are at most `most`.
     kind = np.float32 if most < SINGLE else np.float64
+    # Beyond doubles' whole numbers, products of other shapes may be rounded otherwise.
+    slack = 0.0 if most < 1 << 53 else 1e-9 * most
 
     def limits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The k-th best score of each query over the sample."""
@@ -189,7 +193,7 @@ def top_k(vectors: DataFrame, id_column: str, column: str, is_query: Column, k:
             score = q @ sample.T
             score[batch.column("row").to_numpy()[:, None] == sample_rows] = -np.inf
             floor = np.partition(score, -k, 1)[:, -k] if len(sample) >= k else np.full(len(q), -np.inf)
-            yield pa.record_batch([*batch.columns, pa.array(floor)], [*batch.schema.names, "floor"])
+            yield pa.record_batch([*batch.columns, pa.array(floor - slack)], [*batch.schema.names, "floor"])
 
     queries = rows.where("query").select("row", "id", "v").mapInArrow(limits, "row long, id long, v array<long>, floor double")
     block = F.pmod(F.xxhash64("row", F.lit(5)), F.lit(blocks)).cast("int")

@@ -64,3 +64,20 @@ def test_each_block_is_a_task(spark, tmp_path, capsys):
     pivots.top_k(vectors, "vec_id", "embedding", F.col("vec_id") % 50 == 0).explain()
     dealt = [line for line in capsys.readouterr().out.splitlines() if "REPARTITION_BY_NUM" in line]
     assert len(dealt) == 1 and "hashpartitioning" not in dealt[0]
+
+
+def test_equal_vectors_are_not_all_sorted(monkeypatch):
+    """Of very many equal scores a task goes on with those that can be among the k best by id."""
+    monkeypatch.setattr(pivots, "RUN", 64)
+    monkeypatch.setattr(pivots, "GROUP", 8)
+    rng = np.random.default_rng(6)
+    x, row, ids = np.ones((2000, 4)), np.arange(2000), rng.permutation(2000)
+    ids[7] = np.iinfo(np.int64).max  # a null id
+    space = pivots.Space(pivots.choose_pivots(x), 4.0)
+    block = pivots.Block(row, ids, x, space)
+    sorted_, sort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: (sorted_.append(len(keys[0])), sort(keys))[1])
+    i, j, score = pivots.search(row[:8], x[:8], space.of_queries(x[:8]), np.full(8, 4.0), block, 4.0, 5)
+    monkeypatch.undo()
+    assert list(zip(i, block.id[j], score)) == brute(row[:8], x[:8], row, ids, x, 5)
+    assert sum(sorted_) < 4000  # of 16,000 scores
